@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.llm import nn_descent
+from lexloom.llm.chat_format import conversation_events, digest, format_chats
 from lexloom.llm.context_mixing import score_texts
 from lexloom.llm.near_dedup import near_duplicates
 from lexloom.llm.packing import pack
+from lexloom.llm.robust_outliers import quality_outliers
 from lexloom.llm.suffix_dedup import suffix_dedup
 
 
@@ -16,6 +19,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Conversation -1 holds the template's own marks in both texts.
+MARKS = "<|im_end|><|im_start|>assistant ok"
+
+
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_outliers(_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -24,6 +39,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"'{MARKS}' AS text")
+    return digest(format_chats(conversation_events(rows.union(marks))))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -32,9 +53,24 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+CHAT_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1::BIGINT, 0::BIGINT, 'user', '{MARKS}'), (-1, 1, 'assistant', '{MARKS}')
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  sum(length(role) + (length(role) - length(replace(role, chr(92), ''))) + (length(role) - length(replace(role, chr(10), ''))) + (length(role) - length(replace(role, '<|', ''))) // 2
+    + length(text) + (length(text) - length(replace(text, chr(92), ''))) + (length(text) - length(replace(text, '<|', ''))) // 2 + 24)::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_dedup, op5_best_fit_packing, op9_minhash_near_dedup, op10_context_mixing)}
+    return {f.__name__: f for f in (op1_nn_descent, op2_robust_outliers, op3_suffix_dedup, op5_best_fit_packing, op6_chat_format, op9_minhash_near_dedup, op10_context_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_nn_descent": nn_descent.ORACLE_SQL, "op6_chat_format": CHAT_SQL}
