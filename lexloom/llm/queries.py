@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lexloom.llm import nn_descent
 from lexloom.llm.chat_format import conversation_events, digest, format_chats
 from lexloom.llm.context_mixing import score_texts
+from lexloom.llm.language_id import languages
+from lexloom.llm.mixing import mix_sources
 from lexloom.llm.near_dedup import near_duplicates
 from lexloom.llm.packing import pack
 from lexloom.llm.robust_outliers import quality_outliers
+from lexloom.llm.rule_ensemble import quality_scores
 from lexloom.llm.suffix_dedup import suffix_dedup
 
 
@@ -35,6 +38,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +52,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_chats(conversation_events(rows.union(marks))))
 
 
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_block", "mix_tokens", "mix_place")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_table(spark, sf_dir, "documents"), spans=False)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +84,7 @@ FROM rows GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nn_descent, op2_robust_outliers, op3_suffix_dedup, op5_best_fit_packing, op6_chat_format, op9_minhash_near_dedup, op10_context_mixing)}
+    return {f.__name__: f for f in (op1_nn_descent, op2_robust_outliers, op3_suffix_dedup, op4_rule_ensemble, op5_best_fit_packing, op6_chat_format, op7_temperature_mixing, op8_language_id, op9_minhash_near_dedup, op10_context_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

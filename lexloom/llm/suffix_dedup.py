@@ -195,6 +195,14 @@ def _by_window(width: int):
     return run
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The union of each piece's intervals, so that a place with the piece is one row, however much repeats there."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for batch in batches:
+        spans = [[{"a": a, "b": b} for a, b in merged([(x["a"], x["b"]) for x in spans])] for spans in batch.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("piece"), pa.array(spans, kind)], names=["key", "piece", "spans"])
+
+
 def repeated_spans(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``(k1, k2, spans)``: byte intervals to remove for each document that has some.
 
@@ -221,8 +229,10 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", id_col: str = "do
         each = stage(cuts.join(hot, "key", "left_semi").mapInArrow(_by_window(width), "key long, piece long, window long, a int"), "hot-windows")
         twice = each.groupBy("key", "window").count().where("count > 1").select("key", "window")
         some = some.union(each.join(twice, ["key", "window"]).select("key", "piece", "a", (F.col("a") + width).cast("int").alias("b")))
-    some = stage(whole.union(some), "covered-pieces")
-    return found.join(some, ["key", "piece"]).groupBy("k1", "k2").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
+    some = whole.union(some).groupBy("key", "piece").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    some = stage(some.mapInArrow(_merge, "key long, piece long, spans array<struct<a:int,b:int>>"), "covered-pieces")
+    shifted = F.transform("spans", lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b")))
+    return found.join(some, ["key", "piece"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list(shifted)).alias("spans"))
 
 
 def _whole_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
@@ -237,9 +247,9 @@ def _whole_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
 def _remove(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = arrow_text(batch.column("text"))
+            data, offsets = arrow_text(batch.column("__text"))
             n_bytes, n_removed, n_spans, digest, kept = [], [], [], [], []
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
+            for i, spans in enumerate(batch.column("__spans").to_pylist()):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
                 runs = merged([(x["a"], x["b"]) for x in spans or ()])
                 left, clean, last, done = [], [], 0, 0
@@ -273,6 +283,6 @@ def suffix_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
     spans = repeated_spans(docs, text_col=text_col, id_col=id_col, width=width, hot_bytes=hot_bytes)
     keyed = docs.select(*names, F.xxhash64(id_col).alias("__k1"), F.xxhash64(text_col).alias("__k2"), F.col(text_col).alias("__text"))
     spans = spans.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
-    joined = keyed.join(spans, ["__k1", "__k2"], "left").select(*names, F.col("__text").alias("text"), F.col("__spans").alias("spans"))
+    joined = keyed.join(spans, ["__k1", "__k2"], "left").select(*names, "__text", "__spans")
     fields = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
     return joined.mapInArrow(_remove(names), fields)
