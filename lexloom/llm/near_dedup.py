@@ -111,17 +111,18 @@ def _verify(words: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, own = None, None
-        for batch in batches:
-            hashes, ends = word_hashes(*arrow_text(batch.column("text")))
-            leads, members = batch.column("lead").to_pylist(), batch.column("doc_id").to_pylist()
+        for whole in batches:
             a, b = [], []
-            for i, (x, y) in enumerate(zip(leads, members, strict=True)):
-                mine = bag(hashes[ends[i] : ends[i + 1]], words)
-                if x == y:
-                    lead, own = x, mine
-                elif lead == x and overlap(own, mine) >= least:
-                    a.append(x)
-                    b.append(y)
+            for begin in range(0, len(whole), 256):
+                batch = whole.slice(begin, 256)
+                hashes, ends = word_hashes(*arrow_text(batch.column("text")))
+                for i, (x, y) in enumerate(zip(batch.column("lead").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
+                    mine = bag(hashes[ends[i] : ends[i + 1]], words)
+                    if x == y:
+                        lead, own = x, mine
+                    elif lead == x and overlap(own, mine) >= least:
+                        a.append(x)
+                        b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
