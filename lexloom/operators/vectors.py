@@ -86,12 +86,8 @@ class Ivf:
 
         sample = max(39 * cells, 10_000) if sample is None else sample
         rows = vectors.orderBy(key).limit(sample).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-        centers = KMeans(k=cells, seed=seed, maxIter=10).fit(rows).clusterCenters()
+        centers = [c / (float((c * c).sum()) ** 0.5 or 1.0) for c in KMeans(k=cells, seed=seed, maxIter=10).fit(rows).clusterCenters()]  # of length one, as products decide
         centroids = vectors.sparkSession.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(centers)], "cell_id int, centroid array<double>")
-        listed = F.array(*(F.struct(F.lit(k).alias("cell_id"), F.array(*(F.lit(float(x)) for x in c)).alias("c")) for k, c in enumerate(centers))) if cells <= 8 else None
-        if listed is not None:
-            best = F.array_max(F.transform(listed, lambda s: F.struct(inner_product("embedding", s["c"]).alias("p"), (-s["cell_id"]).alias("cell_id"))))
-            return cls(vectors.withColumn("cell_id", -best["cell_id"]), centroids, key)
         packed = centroids.agg(F.collect_list(F.struct("cell_id", "centroid")).alias("cells"))  # one row of `cells` centroids
         best = F.array_max(F.transform("cells", lambda s: F.struct(inner_product("embedding", s["centroid"]).alias("p"), (-s["cell_id"]).alias("cell_id"))))
         return cls(vectors.crossJoin(F.broadcast(packed)).withColumn("cell_id", -best["cell_id"]).drop("cells"), centroids, key)

@@ -6,6 +6,7 @@ title_processed, content_processed, combined_processed, combined_unaccented, doc
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,11 +76,13 @@ def records_to_documents(raw: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def with_index(df: DataFrame, *order: str, name: str = "doc_index") -> DataFrame:
-    """Dense numbers from 0 in the order of ``order``: counts of ranges first, then places within each range.
+    """Dense numbers from 0 in the order of ``order``, whose values should differ: counts of ranges first, then places within each range.
 
-    Rows are range-partitioned, so no task sorts them all; the driver sees a count for each partition.
+    Rows are range-partitioned, so no task sorts them all.  The ranges are drawn from a sample, so they are kept on disk
+    for both readers; a lost part is made anew with the same bounds.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
+    ranged = ranged.persist(StorageLevel.DISK_ONLY)
     counts = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("first"))
     before = counts.select("__part", "first", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return ranged.join(before, "__part").withColumn(name, (F.col("before") + F.col("__row") - F.col("first")).cast("long")).drop("__part", "__row", "first", "before")
