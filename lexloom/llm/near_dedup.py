@@ -9,7 +9,8 @@ process ends once it is later than all positions of the signature, so a text cos
 
 Signatures are banded.  In a bucket each text is first held against the smallest id only; links are verified on the
 whole bags.  Where texts of one bucket are then still in different components, all pairs across components are
-verified as well, unless their signatures agree so little that a link is out of the question (chance below 1e-8).
+verified as well.  In both steps a pair is first told by one bit of each position of the signatures, inside the join:
+too many that differ put a link out of the question (chance below 1e-8), and no row comes of it.
 So no link between components is lost, and a bucket of copies costs one comparison a text.
 """
 
@@ -29,6 +30,7 @@ from lexloom.llm.storage import stage
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 25
 CHUNK = 256
+FILTER_BITS = 1 << 23
 _FAR = np.float64(np.inf)
 
 
@@ -100,8 +102,10 @@ def _sign(words: int, rows: int, bands: int):
                     code = mix64(code * np.uint64(0xD6E8FEB86659FD93) + found[:, k::rows])
                 offsets = np.append(0, np.cumsum(full * bands)).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(code[full].ravel().view(np.int64)))
-                short = pa.array([x.tobytes() for x in (found & np.uint64(255)).astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), keys, short], names=["doc_id", "t1", "t2", "keys", "short"])
+                low = np.zeros((len(bags), 128), np.uint64)
+                low[:, : min(128, rows * bands)] = found[:, :128] & np.uint64(1)
+                s1, s2 = (np.bitwise_or.reduce(low[:, a : a + 64] << np.arange(64, dtype=np.uint64), axis=1).view(np.int64) for a in (0, 64))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), keys, pa.array(s1), pa.array(s2)], names=["doc_id", "t1", "t2", "keys", "s1", "s2"])
 
     return run
 
@@ -139,16 +143,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
 
 
 def _may_link(size: int, least: float):
-    """Of pairs with short signatures, those that may link: no fewer agreements than a link ever shows."""
-    lowest = size * least - 6 * (size * least * (1 - least)) ** 0.5
+    """A test of pairs by one bit of each position of their signatures: no more of them differ than in any link.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("short_a", "short_b"))
-            keep = pa.array((x == y).sum(axis=1) >= lowest)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+    Half of the positions that disagree show it, so at the least similarity the number that differ has mean
+    ``n (1 - least) / 2``; six deviations more have a chance below 1e-8.
+    """
+    n, p = min(size, 128), (1 - least) / 2
+    most = int(n * p + 6 * (n * p * (1 - p)) ** 0.5)
+    return F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b"))) <= most
 
-    return run
+
+def _in_pairs(texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Without most of the texts that no pair has, before anything is shuffled: by a bitmap of ids, ``FILTER_BITS`` long at most."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(spot("id").alias("h"))
+    bits = ids.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    bits = stage(bits, name)  # FILTER_BITS / 64 rows at most
+    held = texts.withColumn("h", spot("doc_id")).withColumn("w", F.shiftright("h", 6)).join(F.broadcast(bits), "w")
+    return held.where(F.expr("(shiftrightunsigned(bits, cast(h & 63 as int)) & 1L) = 1")).select(*texts.columns)
 
 
 def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, least: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -161,28 +173,30 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col, F.length(text_col)).alias("t2"), F.col(text_col).alias("text"))
     named = base.where("doc_id is not null")
-    signed = stage(named.mapInArrow(_sign(words, rows, bands), "doc_id long, t1 long, t2 long, keys array<long>, short binary"), "signatures")
+    signed = stage(named.mapInArrow(_sign(words, rows, bands), "doc_id long, t1 long, t2 long, keys array<long>, s1 long, s2 long"), "signatures")
     first = stage(signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("first")), "texts")
     copies = signed.select("doc_id", "t1", "t2").join(first, ["t1", "t2"]).select(F.col("doc_id").alias("b"), F.col("first").alias("a")).where("a <> b")
     nodes = signed.join(first.select("t1", "t2", F.col("first").alias("doc_id")), ["t1", "t2", "doc_id"])
+    bits = stage(nodes.select("doc_id", "s1", "s2").distinct(), "signature-bits")
+    side = lambda x: bits.select(F.col("doc_id").alias(x), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}"))
+    may_link = _may_link(rows * bands, least)
     bucket = stage(nodes.select(F.explode("keys").alias("key"), "doc_id").distinct(), "buckets")
     lead = bucket.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a <> last").select("key", "a")
     bucket = stage(bucket.join(lead, "key"), "shared-buckets")
     texts = named.select("doc_id", "text")
-    pairs = stage(bucket.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "star-pairs")
-    links = stage(_verified(pairs, texts, words, least).union(copies.select("a", "b")).distinct(), "star-links")
+    pairs = bucket.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    pairs = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(may_link).select("a", "b").distinct(), "star-pairs")
+    links = stage(_verified(pairs, _in_pairs(texts, pairs, "star-texts"), words, least).union(copies.select("a", "b")).distinct(), "star-links")
     label = components(links, "star")
 
     held = bucket.select("key", "doc_id").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_keys = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    held = stage(held.join(open_keys, "key"), "open-buckets")
-    short = nodes.select("doc_id", "short").dropDuplicates(["doc_id"])
-    left, right = held.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca")), held.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = rest.join(short.select(F.col("doc_id").alias("a"), F.col("short").alias("short_a")), "a").join(short.select(F.col("doc_id").alias("b"), F.col("short").alias("short_b")), "b")
-    rest = stage(rest.select("a", "b", "short_a", "short_b").mapInArrow(_may_link(rows * bands, least), "a long, b long"), "cross-pairs")
+    held = stage(held.join(open_keys, "key").join(bits, "doc_id"), "open-buckets")
+    left, right = (held.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}")) for x in "ab")
+    cross = left.withColumnRenamed("key", "key_a").join(right, (F.col("key_a") == F.col("key")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link)
+    rest = stage(cross.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
     if not rest.isEmpty():
-        more = stage(_verified(rest, texts, words, least), "cross-links")
+        more = stage(_verified(rest, _in_pairs(texts, rest, "cross-texts"), words, least), "cross-links")
         if not more.isEmpty():
             label = components(links.union(more), "all")
     label = label.select(F.col("node").alias("doc_id"), "component")
