@@ -216,7 +216,7 @@ def languages(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id"
             count[lang, part] = np.frombuffer(vector)
         else:
             script[lang] = np.frombuffer(vector)
-    table = np.log((count + 0.5) / (count.sum(axis=2, keepdims=True) + 0.5 * (1 << BITS))).reshape(len(langs), -1).T.astype(np.float32)
+    table = np.log((count + 0.5) / (count.sum(axis=2, keepdims=True) + 0.5 * (1 << BITS))).reshape(len(langs), ORDERS << BITS).T.astype(np.float32)
     allowed = (script > 1e-4 * script.sum(axis=1, keepdims=True)).T if langs else np.zeros((len(_NAMES), 0), bool)
     allowed = np.where(allowed.any(axis=1, keepdims=True), allowed, True)
     shared = spark.sparkContext.broadcast((langs, np.ascontiguousarray(table), allowed))

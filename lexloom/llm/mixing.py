@@ -111,4 +111,4 @@ def mix_sources(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     dealt = dealt.withColumn("__o", place)
     spot = F.expr("cast(floor(__o / 1099511627776D * ranges) as int)")
     taken = (F.col("mix_block") < F.col("whole")) | ((F.col("rest") > 0) & F.coalesce((spot < F.col("edge_r")) | ((spot == F.col("edge_r")) & (F.col("__o") <= F.col("edge_o"))), F.lit(True)))
-    return dealt.where(taken).select(*names, "mix_block", "mix_tokens", ((F.col("mix_block") + F.col("__o") / float(1 << 40)) / F.greatest("blocks", F.lit(1e-9))).alias("mix_place"))
+    return dealt.where(taken).select(*names, "mix_block", "mix_tokens", F.least(F.lit(1.0), (F.col("mix_block") + F.col("__o") / float(1 << 40)) / F.col("blocks")).alias("mix_place"))
