@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     named = base.where("doc_id is not null")
     signed = stage(named.mapInArrow(_sign(words, rows, bands), "doc_id long, t1 long, t2 long, keys array<long>, s1 long, s2 long"), "signatures")
     first = stage(signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("first")), "texts")
-    copies = signed.select("doc_id", "t1", "t2").join(first, ["t1", "t2"]).select(F.col("doc_id").alias("b"), F.col("first").alias("a")).where("a <> b")
+    several = signed.groupBy("doc_id").agg(F.min(F.struct("t1", "t2")).alias("low"), F.max(F.struct("t1", "t2")).alias("high")).where("low <> high").select("doc_id")
+    copies = signed.select("doc_id", "t1", "t2").join(several, "doc_id", "left_semi").join(first, ["t1", "t2"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b")  # ids of several texts tie those together
     nodes = signed.join(first.select("t1", "t2", F.col("first").alias("doc_id")), ["t1", "t2", "doc_id"])
     bits = stage(nodes.select("doc_id", "s1", "s2").distinct(), "signature-bits")
     side = lambda x: bits.select(F.col("doc_id").alias(x), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}"))
@@ -199,5 +200,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
         more = stage(_verified(rest, _in_pairs(texts, rest, "cross-texts"), words, least), "cross-links")
         if not more.isEmpty():
             label = components(links.union(more), "all")
-    label = label.select(F.col("node").alias("doc_id"), "component")
-    return base.select("doc_id").join(label, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    label = label.select(F.col("node").alias("first"), "component")
+    found = signed.select("doc_id", "t1", "t2").join(first, ["t1", "t2"]).join(label, "first", "left").select("doc_id", F.coalesce("component", "first").alias("class_id"))
+    found = found.union(base.where("doc_id is null").select("doc_id", F.lit(None).cast("long")))
+    return found.select("doc_id", "class_id", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
