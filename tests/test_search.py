@@ -91,8 +91,10 @@ def test_ivf_recall(spark):
     exact = vectors.Flat(held).search(asked, 10).select("query_id", "embedding_index")
     cells = vectors.Ivf.train(held, cells=16)
     assert cells.search(asked, 10, probes=16).select("query_id", "embedding_index").exceptAll(exact).isEmpty()
-    found = cells.search(asked, 10, probes=12).select("query_id", "embedding_index")
-    assert exact.intersect(found).count() / exact.count() >= 0.9
+    recall = {k: exact.intersect(cells.search(asked, 10, probes=k).select("query_id", "embedding_index")).count() / exact.count() for k in (10, 12)}
+    assert recall[12] >= 0.9
+    if recall[10] < 0.9:
+        pytest.xfail(f"recall with 10 of 16 cells is {recall[10]}, not 0.9")
 
 
 def ranked(spark, *pairs):
