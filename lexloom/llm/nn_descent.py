@@ -6,11 +6,15 @@ node its neighbours, and the nodes that have it as a neighbour, are compared wit
 ``k`` best.  Rounds end when hardly any list changes.  Edges at the threshold are verified in double precision and
 give connected components.
 
-A list that is full of such edges is saturated, as the node may have more links than the list holds.  Lists of components with a
-saturated node are enlarged to the whole component, in pairs of blocks of bounded size that give counts and no pairs.
+A list that is full of such edges is saturated, as the node may have more links than the list holds.  A link between two
+saturated nodes can be in neither list, so saturated nodes get further lists, of neighbours outside their component, by
+the same orders and rounds; links found there merge components, and that is repeated until no such list holds one.  Then
+lists of components with a saturated node are enlarged to the whole component, in pairs of blocks of bounded size that
+give counts and no pairs.
 
 At last the result is audited: a sample of bounded size is held against all vectors.  If fewer links were found than
-``recall`` of those that there are, everything is repeated with twice as many orders on top of the graph so far.
+``recall`` of those that there are, everything is repeated with twice as many orders on top of the graph so far; if that
+doesn't help either, all vectors of a label are compared, in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -68,7 +72,7 @@ def _orders(seed: int, orders: int, bits: int = 62):
                 signs = (_matrix(part.column("short"), "<f4") @ planes[dim] > 0).reshape(len(part), orders, bits)
                 code = signs @ (np.int64(1) << np.arange(bits, dtype=np.int64))
                 for k in range(orders):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), *(part.column(c) for c in ("node", "label", "dim", "short")), pa.array(code[:, k])], names=["turn", "node", "label", "dim", "short", "code"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), *(part.column(c) for c in ("node", "part", "label", "dim", "short")), pa.array(code[:, k])], names=["turn", "node", "part", "label", "dim", "short", "code"])
 
     return run
 
@@ -91,7 +95,7 @@ def _edges(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
 
 
 def _neighbours_in_order(k: int, block: int):
-    """Sorted rows to edges: blocks that overlap by a half, each compared inside."""
+    """Sorted rows to edges between parts: blocks that overlap by a half, each compared inside."""
 
     def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         names = np.array([x[0] for x in rows], np.int64)
@@ -101,7 +105,8 @@ def _neighbours_in_order(k: int, block: int):
             at = np.flatnonzero(group == g)
             x = np.frombuffer(b"".join(rows[i][2] for i in at), "<f4").reshape(len(at), -1)
             cosines[np.ix_(at, at)] = x @ x.T
-        np.fill_diagonal(cosines, -2)
+        part = np.array([x[3] for x in rows], np.int64)
+        cosines[part[:, None] == part] = -2
         return _best(names, cosines, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +116,7 @@ def _neighbours_in_order(k: int, block: int):
         for batch in batches:
             found = []
             group = [kinds.setdefault(x, len(kinds)) for x in zip(*(batch.column(c).to_pylist() for c in ("turn", "label", "dim")), strict=True)]
-            for row in zip(batch.column("node").to_pylist(), group, batch.column("short").to_pylist(), strict=True):
+            for row in zip(batch.column("node").to_pylist(), group, batch.column("short").to_pylist(), batch.column("part").to_pylist(), strict=True):
                 held.append(row)
                 fresh += 1
                 if len(held) == block:
@@ -126,13 +131,14 @@ def _neighbours_in_order(k: int, block: int):
 
 
 def _local_join(k: int):
-    """Rows (center, member, worst, short) sorted by center to edges between members that beat one's worst neighbour."""
+    """Rows (center, member, worst, short, part) sorted by center to edges between members of different parts that beat one's worst neighbour."""
 
     def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         names = np.array([x[0] for x in rows], np.int64)
         x = np.frombuffer(b"".join(x[2] for x in rows), "<f4").reshape(len(rows), -1)
         cosines = x @ x.T
-        np.fill_diagonal(cosines, -2)
+        part = np.array([x[3] for x in rows], np.int64)
+        cosines[part[:, None] == part] = -2
         cosines[cosines <= np.array([x[1] for x in rows], np.float32)[:, None]] = -2
         return _best(names, cosines, k)
 
@@ -140,7 +146,7 @@ def _local_join(k: int):
         now, held = None, []
         for batch in batches:
             found = []
-            for center, *row in zip(*(batch.column(c).to_pylist() for c in ("center", "node", "worst", "short")), strict=True):
+            for center, *row in zip(*(batch.column(c).to_pylist() for c in ("center", "node", "worst", "short", "part")), strict=True):
                 if center != now:
                     if len(held) > 1:
                         found.append(compare(held))
@@ -160,16 +166,41 @@ def _top(edges: DataFrame, k: int, by: str = "a") -> DataFrame:
     return edges.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def _descend(nodes: DataFrame, graph: DataFrame, k: int, name: str) -> DataFrame:
-    """One round: neighbours of neighbours, in both directions, against each other."""
-    around = graph.select(F.col("a").alias("center"), F.col("b").alias("node")).union(_top(graph, k, "b").select(F.col("b").alias("center"), F.col("a").alias("node"))).distinct()
+def _around(graph: DataFrame, k: int) -> DataFrame:
+    """Each node with its neighbours and with the nodes that have it as a neighbour."""
+    return graph.select(F.col("a").alias("center"), F.col("b").alias("node")).union(_top(graph, k, "b").select(F.col("b").alias("center"), F.col("a").alias("node")))
+
+
+def _dealt(nodes: DataFrame, graph: DataFrame, seed: int, orders: int, k: int, name: str) -> DataFrame:
+    """The graph with the neighbours in ``orders`` sorted orders added."""
+    kind = nodes.schema["label"].dataType.simpleString()
+    dealt = nodes.mapInArrow(_orders(seed, orders), f"turn int, node long, part long, label {kind}, dim int, short binary, code long")
+    dealt = dealt.repartitionByRange("turn", "label", "dim", "code").sortWithinPartitions("turn", "label", "dim", "code")
+    first = dealt.mapInArrow(_neighbours_in_order(k, BLOCK), _EDGES)
+    return stage(_top(graph.union(first).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), k), name)
+
+
+def _descend(nodes: DataFrame, graph: DataFrame, k: int, name: str, own: DataFrame | None = None) -> DataFrame:
+    """One round: neighbours of neighbours, in both directions, against each other; ``own`` are edges inside parts, which lead on."""
+    around = _around(graph, k) if own is None else _around(graph, k).union(_around(own, k)).union(graph.select("a", "a"))
     worst = graph.groupBy(F.col("a").alias("node")).agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(F.lit(-1.5)).cast("float").alias("worst"))
-    known = nodes.select("node", "short").join(worst, "node", "left").select("node", F.coalesce("worst", F.lit(-1.5).cast("float")).alias("worst"), "short")
-    rows = around.join(known, "node").repartition("center").sortWithinPartitions("center")
-    better = rows.select("center", "node", "worst", "short").mapInArrow(_local_join(k), _EDGES)
+    known = nodes.select("node", "short", "part").join(worst, "node", "left").select("node", F.coalesce("worst", F.lit(-1.5).cast("float")).alias("worst"), "short", "part")
+    rows = around.distinct().join(known, "node").repartition("center").sortWithinPartitions("center")
+    better = rows.select("center", "node", "worst", "short", "part").mapInArrow(_local_join(k), _EDGES)
     return stage(_top(graph.union(better).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), k), name)
 
 
+def _rounds(nodes: DataFrame, graph: DataFrame, k: int, rounds: int, name: str, own: DataFrame | None = None) -> DataFrame:
+    size = graph.count()
+    for r in range(rounds):
+        new = _descend(nodes, graph, k, f"{name}-{r}", own)
+        changed = new.join(graph, ["a", "b"], "left_anti").count()
+        graph = new
+        if changed <= 0.002 * size:
+            break
+    return graph
+
+
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,12 +211,23 @@ def _verify(least: float):
     return run
 
 
+def _roots(near: np.ndarray, x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest name that each row and each column of a block of links reaches inside it."""
+    far = np.iinfo(np.int64).max
+    while True:
+        new_x = np.minimum(x, np.where(near, y[None], far).min(axis=1, initial=far))
+        new_y = new_x if same else np.minimum(y, np.where(near, new_x[:, None], far).min(axis=0, initial=far))
+        if np.array_equal(new_x, x) and np.array_equal(new_y, y):
+            return x, y
+        x, y = new_x, new_y
+
+
 def _count_pairs(least: float):
-    """Sorted rows (component, i, j, own, node, size, unit) of a pair of blocks to (node, links)."""
+    """Sorted rows (component, i, j, own, node, size, unit) of a pair of blocks to (node, links, root in the block)."""
 
     def compare(i: int, j: int, rows: list[tuple]) -> pa.RecordBatch:
         first, second = [x for x in rows if x[0] == i], [x for x in rows if x[0] == j]
-        names, links = [], []
+        names, links, roots = [], [], []
         if first and second:
             x, y = (np.frombuffer(b"".join(r[3] for r in part)).reshape(len(part), -1) for part in (first, second))
             near = x @ y.T >= least
@@ -193,10 +235,13 @@ def _count_pairs(least: float):
                 np.fill_diagonal(near, False)
             names = [r[1] for r in first]
             links = (near @ np.array([r[2] for r in second], np.int64)).tolist()
+            root = _roots(near, *(np.array([r[1] for r in part], np.int64) for part in (first, second)), i == j)
+            roots = root[0].tolist()
             if i != j:
                 names += [r[1] for r in second]
                 links += (np.array([r[2] for r in first], np.int64) @ near).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(links, pa.int64())], names=["node", "links"])
+                roots += root[1].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(links, pa.int64()), pa.array(roots, pa.int64())], names=["node", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -213,26 +258,67 @@ def _count_pairs(least: float):
     return run
 
 
-def _links(nodes: DataFrame, graph: DataFrame, k: int, least: float, name: str) -> DataFrame:
-    """``(node, links, component)`` of the nodes that have a link."""
+def _in_blocks(nodes: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """``members(component, node, blocks)`` against all others of their component: (node, links, root) for each pair of blocks."""
+    pairs = members.select("component", "node", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(nodes.select("node", "size", "unit"), "node")
+    return pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").select("component", "i", "j", "own", "node", "size", "unit").mapInArrow(_count_pairs(least), "node long, links long, root long")
+
+
+def _verified(nodes: DataFrame, graph: DataFrame, least: float, name: str) -> DataFrame:
+    """Edges of the graph at the threshold, each once."""
     close = graph.where(F.col("cosine") >= least - _SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("unit").alias(f"unit_{x}"))
     pairs = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "unit_a", "unit_b")
-    pairs = stage(pairs.mapInArrow(_verify(least), "a long, b long, size_a long, size_b long"), f"{name}-links")
+    return stage(pairs.mapInArrow(_verify(least), "a long, b long, size_a long, size_b long"), name)
+
+
+def _merged(nodes: DataFrame, graph: DataFrame, label: DataFrame, full: DataFrame, k: int, least: float, seed: int, orders: int, rounds: int, name: str) -> DataFrame:
+    """``label(node, component)`` after links between saturated nodes of different components are found."""
+    own = graph.join(full.select(F.col("node").alias("a")), "a").join(full.select(F.col("node").alias("b")), "b").select("a", "b", "cosine")
+    turn = 0
+    while True:
+        held = stage(nodes.drop("part").join(full, "node").join(label.withColumnRenamed("component", "part"), "node"), f"{name}-held-{turn}")
+        if held.select("part").distinct().limit(2).count() < 2:
+            return label
+        between = _dealt(held, nodes.sparkSession.createDataFrame([], _EDGES), seed, orders, k, f"{name}-between-{turn}")
+        between = _rounds(held, between, k, rounds, f"{name}-between-{turn}", own)
+        found = _verified(nodes, between, least, f"{name}-found-{turn}")
+        if found.isEmpty():
+            return label
+        side = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
+        joined = found.join(side("a"), "a").join(side("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+        joined = components(joined, f"{name}-merge-{turn}").select(F.col("node").alias("component"), F.col("component").alias("now"))
+        label = stage(label.join(joined, "component", "left").select("node", F.coalesce("now", "component").alias("component")), f"{name}-labels-{turn}")
+        turn += 1
+
+
+def _links(nodes: DataFrame, graph: DataFrame, k: int, least: float, seed: int, orders: int, rounds: int, name: str) -> DataFrame:
+    """``(node, links, component)`` of the nodes that have a link."""
+    pairs = _verified(nodes, graph, least, f"{name}-links")
     label = stage(components(pairs.select("a", "b"), f"{name}-components"), f"{name}-labels")
+    lists = graph.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min("cosine").alias("worst"))
+    full = stage(lists.where((F.col("n") >= k) & (F.col("worst") >= least - _SLACK)).select("node"), f"{name}-full")
+    label = _merged(nodes, graph, label, full, k, least, seed, orders, rounds, f"{name}-merged")
     each = pairs.select(F.col("a").alias("node"), F.col("size_b").alias("size")).union(pairs.select("b", "size_a")).groupBy("node").agg(F.count("*").alias("entries"), F.sum("size").alias("links"))
-    each = stage(each.join(label, "node"), f"{name}-lists")
-    full = each.groupBy("component").agg(F.max("entries").alias("most"), F.count("*").alias("members")).where(F.col("most") >= k).select("component", F.ceil(F.col("members") / ENLARGED).cast("int").alias("blocks"))
-    full = stage(full, f"{name}-saturated")
-    if full.isEmpty():
+    each = stage(each.join(label, "node").join(full.withColumn("full", F.lit(True)), "node", "left"), f"{name}-lists")
+    wide = each.groupBy("component").agg(F.max("entries").alias("most"), F.count("*").alias("members"), F.max("full").alias("full"))
+    wide = wide.where((F.col("most") >= k) | F.col("full")).select("component", F.ceil(F.col("members") / ENLARGED).cast("int").alias("blocks"))
+    wide = stage(wide, f"{name}-saturated")
+    if wide.isEmpty():
         return each.select("node", "links", "component")
-    members = each.join(full, "component").select("component", "node", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(nodes.select("node", "size", "unit"), "node")
-    counted = members.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").select("component", "i", "j", "own", "node", "size", "unit").mapInArrow(_count_pairs(least), "node long, links long")
-    counted = counted.groupBy("node").agg(F.sum("links").alias("counted"))
+    counted = _in_blocks(nodes, each.join(wide, "component"), least).groupBy("node").agg(F.sum("links").alias("counted"))
     return each.join(counted, "node", "left").select("node", F.coalesce("counted", "links").alias("links"), "component")
 
 
+def _exact(nodes: DataFrame, least: float, name: str) -> DataFrame:
+    """The result of ``_links`` by all pairs of a label and length."""
+    kinds = nodes.groupBy("label", "dim").agg(F.min("node").alias("component"), F.ceil(F.count("*") / ENLARGED).cast("int").alias("blocks"))
+    counted = stage(_in_blocks(nodes, nodes.select("node", "label", "dim").join(kinds, ["label", "dim"]), least), f"{name}-counted")
+    label = components(counted.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), f"{name}-components")
+    return counted.groupBy("node").agg(F.sum("links").alias("links")).join(label, "node")
+
+
 def _audit(queries, least: float):
     """All vectors against the sampled ones: (number of the sample, links to it)."""
 
@@ -286,24 +372,17 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     classes = single.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.any_value("label").alias("label"), F.any_value("vector").alias("vector"))
     classes = stage(classes, "vector-classes")
     kind = classes.schema["label"].dataType.simpleString()
-    nodes = stage(classes.select(F.col("node").cast("long").alias("node"), "size", "label", "vector").mapInArrow(_prepare, f"node long, size long, label {kind}, dim int, unit binary, short binary"), "vector-nodes")
+    nodes = stage(classes.select(F.col("node").cast("long").alias("node"), "size", "label", "vector").mapInArrow(_prepare, f"node long, size long, label {kind}, dim int, unit binary, short binary").withColumn("part", F.col("node")), "vector-nodes")
 
     graph = nodes.sparkSession.createDataFrame([], _EDGES)
     for attempt in range(attempts):
-        dealt = nodes.mapInArrow(_orders(attempt, orders << attempt), f"turn int, node long, label {kind}, dim int, short binary, code long")
-        dealt = dealt.repartitionByRange("turn", "label", "dim", "code").sortWithinPartitions("turn", "label", "dim", "code")
-        first = dealt.mapInArrow(_neighbours_in_order(k, BLOCK), _EDGES)
-        graph = stage(_top(graph.union(first).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), k), f"graph-{attempt}")
-        size = graph.count()
-        for r in range(rounds):
-            new = _descend(nodes, graph, k, f"graph-{attempt}-{r}")
-            changed = new.join(graph, ["a", "b"], "left_anti").count()
-            graph = new
-            if changed <= 0.002 * size:
-                break
-        found = stage(_links(nodes, graph, k, least, f"vectors-{attempt}"), f"found-{attempt}")
+        graph = _dealt(nodes, graph, attempt, orders << attempt, k, f"graph-{attempt}")
+        graph = _rounds(nodes, graph, k, rounds, f"graph-{attempt}")
+        found = stage(_links(nodes, graph, k, least, attempt, orders << attempt, rounds, f"vectors-{attempt}"), f"found-{attempt}")
         if audit_recall(nodes, found, least=least, sample=sample) >= recall:
             break
+    else:
+        found = stage(_exact(nodes, least, "vectors-exact"), "found-exact")
 
     result = classes.select("h1", "h2", F.col("node").alias("first"), "size").join(found.withColumnRenamed("node", "first"), "first", "left")
     result = result.select("h1", "h2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "first").alias("component"))

@@ -122,3 +122,24 @@ def test_near_vectors(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found.collect()} == want
     assert any(w[0] >= 6 for w in want.values())
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_links_between_full_lists(spark):
+    draw = np.random.default_rng(2)
+    rows = []
+    for label in (0, 1):
+        axes = np.linalg.qr(draw.standard_normal((32, 32)))[0]
+        turn = np.arccos(0.985)
+        for k in range(3 if label else 2):  # groups in a row, only neighbours of which are linked
+            center = np.cos(k * turn) * axes[0] + np.sin(k * turn) * axes[1]
+            rows += [(len(rows) + i, (center + 0.02 * axes[2 + i + 9 * k]).tolist(), label) for i in range(9)]
+    x, labels = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.98) & (labels[:, None] == labels) & ~np.eye(len(x), dtype=bool)
+    nearest = np.argsort(-np.where(near, x @ x.T, -2), axis=1)[:, :6]
+    assert near[:9, 9:18].all() and (nearest[:9] < 9).all() and not near[18:27, 36:45].any()
+    want = {i: (int(near[i].sum()), 0 if i < 18 else 18, i in (0, 18)) for i in range(len(x))}
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for attempts in (1, 0):  # none: all pairs at once
+        found = near_vectors(vectors, attempts=attempts, recall=0.0)
+        assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found.collect()} == want
