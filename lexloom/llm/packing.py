@@ -10,6 +10,7 @@ documents.  Pieces then find their place by their rank among the pieces of their
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -31,8 +32,8 @@ Pattern = tuple[tuple[int, ...], int]
 class _Units(dict):
     """Ids, as bytes, of `` unit``: a stretch of text without a space, with the space before it.
 
-    A pre-token of the byte-level BPE never goes on over a single space, so such stretches are tokenised apart.  Up to
-    ``most`` of them are kept, those that come first and so the frequent ones.
+    A pre-token of the byte-level BPE never goes on over a single space that has no other white space beside it, so such
+    stretches are tokenised apart.  Up to ``most`` of them are kept, those that come first and so the frequent ones.
     """
 
     def __init__(self, encode, most: int = 400_000):
@@ -64,11 +65,12 @@ def encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     units = _Units(fast)
     get = units.__getitem__
+    beside = re.compile(r" \s|[^\S ] ").search
 
     def encode(text: str) -> bytes:
         if any(x in text for x in special):
             return slow(text)
-        if "  " in text:
+        if beside(text):
             return np.array(fast(text), "<u4").tobytes()
         first, _, rest = text.partition(" ")
         return np.array(fast(first), "<u4").tobytes() + (b"".join(map(get, rest.split(" "))) if _ else b"")

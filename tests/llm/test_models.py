@@ -226,6 +226,15 @@ def test_encoder_is_the_tokenizer():
         assert fast(text) == slow(text)
 
 
+def test_encoder_on_mixed_white_space():
+    files = packing.tokenizer_files()
+    fast, slow = packing.encoder(*files), packing.encoder(files[0], None, None)
+    draw = np.random.default_rng(11)
+    parts = ["a", "word", "é", "12", "!", " ", " ", " ", "\u00a0", "\t", "\n", "\r", "\u2003", "\u3000", "\u0085", "\x1c", "\u200b"]
+    for text in ("a \u00a0 \u00a0", "word \u00a0 \u00a0 \u00a0 \u00a0 next", *("".join(draw.choice(parts, 12)) for _ in range(5000))):
+        assert fast(text) == slow(text), repr(text)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = {r["doc_id"] for r in docs.collect()}
