@@ -1,10 +1,13 @@
 import json
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.config import Settings
 from lexloom.operators import chunking, fusion, lexical, serving, vectors
+from lexloom.plans.registry import QUERIES
 from lexloom.sources import articles as A
 from lexloom.streaming.clicks import CLICK, click_counts
 
@@ -170,3 +173,18 @@ def test_click_stream(spark, tmp_path):
 def test_settings():
     found = Settings.from_env({"HYBRID_RRF_K": "10", "RERANKER_ENABLED": "Yes"})
     assert found.hybrid_rrf_k == 10 and found.reranker_enabled and not Settings().reranker_enabled
+
+
+def nearest(sf, k):
+    """The ``k`` vectors of the largest products for every row whose id is divisible by 50."""
+    held = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet").sort_by("vec_id")
+    ids, x = held["vec_id"].to_numpy(), np.array(held["embedding"].to_pylist(), np.float64)
+    return {int(i): ids[np.lexsort((ids, -np.round(x @ v, 6)))[:k]].tolist() for i, v in zip(ids, x, strict=True) if i % 50 == 0}
+
+
+def test_registered_cells(spark):
+    want, found = nearest("sf0.001", 10), {}
+    for q, v in rows(QUERIES["vector_ivf"](spark, "/root/testdata/sf0.001"), "query_id", "vec_id"):
+        found.setdefault(q, []).append(v)
+    assert set(found) == set(want) and len(want) == 10
+    assert sum(len(set(want[q]) & set(found[q])) for q in want) >= 0.9 * 10 * len(want)
