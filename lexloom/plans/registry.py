@@ -276,7 +276,7 @@ def vector_min_score_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vector_batch_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vectors.Flat(vector_table(spark, sf_dir)).search(query_vectors(spark, sf_dir, *range(20)), 5)
+    found = vectors.Flat(vector_table(spark, sf_dir)).search(query_set(spark, sf_dir), 5)
     return found.select("query_id", "rank", F.col("embedding_index").alias("vec_id"), "score")
 
 

@@ -188,3 +188,10 @@ def test_registered_cells(spark):
         found.setdefault(q, []).append(v)
     assert set(found) == set(want) and len(want) == 10
     assert sum(len(set(want[q]) & set(found[q])) for q in want) >= 0.9 * 10 * len(want)
+
+
+def test_registered_batch(spark):
+    found = {}
+    for q, v in rows(QUERIES["vector_batch_knn"](spark, "/root/testdata/sf0.001"), "query_id", "vec_id"):
+        found.setdefault(q, []).append(v)
+    assert found == nearest("sf0.001", 5)
