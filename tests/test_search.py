@@ -195,3 +195,11 @@ def test_registered_batch(spark):
     for q, v in rows(QUERIES["vector_batch_knn"](spark, "/root/testdata/sf0.001"), "query_id", "vec_id"):
         found.setdefault(q, []).append(v)
     assert found == nearest("sf0.001", 5)
+
+
+def test_registered_benchmark(spark, tmp_path):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango".split()
+    texts = [words[5:], words[:8], words, ["other"]]
+    spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(words))], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert sorted(rows(QUERIES["bm25_benchmark"](spark, f"file://{tmp_path}"), "query_id", "doc_id")) == [(7, 0), (7, 2)]
