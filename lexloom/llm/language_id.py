@@ -23,7 +23,7 @@ from lexloom.llm.bytehash import mix64, powers
 from lexloom.llm.storage import stage
 
 ORDERS, BITS = 4, 14
-#: Cost of a change of language, and the most by which one word speaks for a language, in nats.
+#: Cost of a change of language, and the most by which one word speaks for a language of its script, in nats.
 SWITCH, MOST = 8.0, 6.0
 UNDETERMINED = "und"
 #: First code point of each script range, and the script; fixed values of the Unicode blocks.
@@ -173,7 +173,7 @@ def _predict(shared, switch: float, most: float, spans: bool):
                     slots, size = words.grams()
                     each = np.add.reduceat(table[slots].sum(axis=0), np.append(0, np.cumsum(size)[:-1])) / ORDERS
                     each = np.where(allowed[words.script], each, -np.inf)
-                    each = np.maximum(each - each.max(axis=1, keepdims=True), -most)
+                    each = np.where(allowed[words.script], np.maximum(each - each.max(axis=1, keepdims=True), -most), -np.inf)
                     label = viterbi(each[words.kind], words.offsets, switch)
                     length = words.end - words.start
                     doc = np.repeat(np.arange(len(batch)), np.diff(words.offsets))

@@ -57,7 +57,7 @@ def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages(_table(spark, sf_dir, "documents"), spans=False)
+    return languages(_table(spark, sf_dir, "documents"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import corpus_pipeline
 from lexloom.llm import mixing, packing, robust_outliers, rule_ensemble
 from lexloom.llm.context_mixing import backed_off, score_texts
 from lexloom.llm.language_id import languages, viterbi
+from lexloom.llm.queries import op8_language_id
 
 SF = "/root/testdata/sf0.001"
 ODD = [(900_001, None, None, None, 0), (900_002, "", None, "s", 0), (900_003, "a " * 50_000, "en", None, 0), (900_003, "a " * 50_000, "en", None, 0), (None, "the of and", "en", "s", 10), (900_004, "12 34 !!", "en", "s", 3)]
@@ -116,6 +117,15 @@ def test_languages(spark, docs):
     assert {r["lang_pred"] for r in languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_one_word_of_another_script(spark, tmp_path):
+    taught = [(k, t, lang, "s", 0) for k in range(1, 40) for t, lang in (("the house of the king and the river", "en"), ("дом короля и река у города", "ru"))]
+    text = "the house of the дом king and the river"
+    rows = [*taught, (1_000, text, None, "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = op8_language_id(spark, f"file://{tmp_path}").where("doc_id = 1000").first()
+    assert found["lang_pred"] == "en" and [(text[s["start"] : s["end"]], s["lang"]) for s in found["spans"]] == [("the house of the", "en"), ("дом", "ru"), ("king and the river", "en")]
+
+
 def test_language_model(spark, docs):
     out = score_texts(docs).collect()
     assert len(out) == docs.count()
