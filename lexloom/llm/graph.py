@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.storage import stage
+from lexloom.llm.storage import discard, stage
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -18,13 +18,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct()
     both = stage(both, f"{name}-edges")
     label = stage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), f"{name}-0")
-    for k in range(1, 200):
+    k = 0
+    while True:  # labels only fall, so it ends
+        k += 1
         near = both.join(label.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("seen"))
         step = label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("now"))
         jump = label.select(F.col("node").alias("now"), F.col("component").alias("further"))
         new = step.join(jump, "now", "left").select("node", "was", F.least("now", F.coalesce("further", "now")).alias("component"))
-        new = stage(new, f"{name}-{k}")
-        label = new.select("node", "component")
-        if new.where("was <> component").isEmpty():
-            break
-    return label
+        old, label = label, stage(new, f"{name}-{k}")
+        discard(old)
+        if label.where("was <> component").isEmpty():
+            discard(both)
+            return label.select("node", "component")

@@ -7,11 +7,16 @@ below the bag's weight.  A point falls on one position of the signature, which k
 at a position with probability sum(min) / sum(max) of the weights, without bias.  Points come in order of time, and a
 process ends once it is later than all positions of the signature, so a text costs about one point a shingle.
 
-Signatures are banded.  In a bucket each text is first held against the smallest id only; links are verified on the
-whole bags.  Where texts of one bucket are then still in different components, all pairs across components are
-verified as well.  In both steps a pair is first told by one bit of each position of the signatures, inside the join:
-too many that differ put a link out of the question (chance below 1e-8), and no row comes of it.
-So no link between components is lost, and a bucket of copies costs one comparison a text.
+Signatures are banded; different texts that share a band's key are candidates.  In each bucket a lead is held against all
+others: the text that has the most company in all of its buckets, so that copies meet the text they were made of.  A pair
+is first told by one bit of each position of the signatures, inside the join: too many that differ put a link out of
+the question (chance below 1e-8).  Links are verified on the whole bags.
+
+A bucket whose texts are then all in one component is done, and so are the pairs with its lead.  What is left of the others
+is dealt out in pairs of blocks of bounded rows and bytes.  A task has all bags of its two blocks, finds every link
+between them, and gives each text with the smallest id that it reaches there: a row a text, and none for a pair.  So no
+candidate is left out, copies cost one comparison a text, and only a bucket of texts that stay unlike costs more: each of
+them goes to as many tasks as the bucket has blocks.
 """
 
 from __future__ import annotations
@@ -25,11 +30,13 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.bytehash import arrow_text, mix64, shingles, word_hashes
 from lexloom.llm.graph import components
-from lexloom.llm.storage import stage
+from lexloom.llm.storage import discard, in_slices, stage
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 25
 CHUNK = 256
+#: Rows and bytes of text in a block, and columns of a block's incidence matrix at a time.
+BLOCK_ROWS, BLOCK_BYTES, COLUMNS = 256, 2 << 20, 2048
 FILTER_BITS = 1 << 23
 _FAR = np.float64(np.inf)
 
@@ -105,7 +112,8 @@ def _sign(words: int, rows: int, bands: int):
                 low = np.zeros((len(bags), 128), np.uint64)
                 low[:, : min(128, rows * bands)] = found[:, :128] & np.uint64(1)
                 s1, s2 = (np.bitwise_or.reduce(low[:, a : a + 64] << np.arange(64, dtype=np.uint64), axis=1).view(np.int64) for a in (0, 64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), keys, pa.array(s1), pa.array(s2)], names=["doc_id", "t1", "t2", "keys", "s1", "s2"])
+                size = pa.array(np.diff(arrow_text(batch.column("text"))[1]), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), keys, pa.array(s1), pa.array(s2), size], names=["doc_id", "t1", "t2", "keys", "s1", "s2", "size"])
 
     return run
 
@@ -114,7 +122,7 @@ def _verify(words: int, least: float):
     """Rows (lead, part, member, text), the lead's own first, to verified links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, own = None, None
+        lead, own = None, []
         for whole in batches:
             a, b = [], []
             for begin in range(0, len(whole), 256):
@@ -123,8 +131,8 @@ def _verify(words: int, least: float):
                 for i, (x, y) in enumerate(zip(batch.column("lead").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
                     mine = bag(hashes[ends[i] : ends[i + 1]], words)
                     if x == y:
-                        lead, own = x, mine
-                    elif lead == x and overlap(own, mine) >= least:
+                        lead, own = x, [*own, mine] if lead == x else [mine]  # several texts of one id
+                    elif lead == x and any(overlap(z, mine) >= least for z in own):
                         a.append(x)
                         b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -132,6 +140,66 @@ def _verify(words: int, least: float):
     return run
 
 
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of all bags: a shingle that occurs k times is k items, so the bags are sets of items."""
+    size = np.array([int(x[1].sum()) for x in bags])
+    item = np.concatenate([mix64(np.repeat(x[0], x[1]) + np.concatenate([np.arange(n, dtype=np.uint64) for n in x[1]] or [np.empty(0, np.uint64)]) * np.uint64(0xA0761D6478BD642F)) if (x[1] > 1).any() else mix64(x[0]) for x in bags])
+    owner = np.repeat(np.arange(len(bags)), size)
+    _, place, times = np.unique(item, return_inverse=True, return_counts=True)
+    dense = np.cumsum(times > 1) - 1
+    held = times[place] > 1
+    column, row = dense[place[held]], owner[held]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    low = np.zeros((len(bags), len(bags)), np.float64)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, [begin, begin + COLUMNS])
+        there = np.zeros((len(bags), COLUMNS), np.float32)
+        there[row[x:y], column[x:y] - begin] = 1
+        low += there @ there.T
+    high = size[:, None] + size[None] - low
+    return np.where(high > 0, low / np.maximum(high, 1), 0.0)
+
+
+def _settle(words: int, least: float):
+    """Sorted rows (key, i, j, doc_id, component, text) of a pair of blocks to (node, smallest node reached) where they differ."""
+
+    def reach(names: list[int], parts: list[int], bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        name, part = np.array(names, np.int64), np.array(parts, np.int64)
+        if len(set(parts)) < 2:
+            return name[:0], name[:0]
+        near = overlaps(bags) >= least
+        near &= part[:, None] != part
+        root, far = name.copy(), np.iinfo(np.int64).max
+        while True:
+            new = np.minimum(root, np.where(near, root[None], far).min(axis=1, initial=far))
+            if np.array_equal(new, root):
+                break
+            root = new
+        moved = root != name
+        return name[moved], root[moved]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, parts, bags = None, [], [], []
+        for batch in batches:
+            found = []
+            hashes, ends = word_hashes(*arrow_text(batch.column("text")))
+            for i, (key, x, y, name, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "doc_id", "component")), strict=True)):
+                if (key, x, y) != now:
+                    if names:
+                        found.append(reach(names, parts, bags))
+                    now, names, parts, bags = (key, x, y), [], [], []
+                names.append(name)
+                parts.append(part)
+                bags.append(bag(hashes[ends[i] : ends[i + 1]], words))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in reach(names, parts, bags)], names=["a", "b"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) whose bags overlap enough; a text goes to the tasks once for each of its pairs."""
     dealt = pairs.select(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.lit(1 << 20)).alias("salt"), F.col("b").alias("doc_id"))
@@ -139,7 +207,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     dealt = dealt.join(parts, "lead").select("doc_id", "lead", F.pmod("salt", "parts").cast("long").alias("part"))
     heads = parts.select(F.col("lead").alias("doc_id"), "lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     rows = texts.join(dealt.union(heads), "doc_id").repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("doc_id") != F.col("lead"))
-    return rows.select("lead", "doc_id", "text").mapInArrow(_verify(words, least), "a long, b long")
+    return rows.select("lead", "doc_id", "text").mapInArrow(in_slices(_verify(words, least)), "a long, b long")
 
 
 def _may_link(size: int, least: float):
@@ -153,16 +221,24 @@ def _may_link(size: int, least: float):
     return F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b"))) <= most
 
 
-def _in_pairs(texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Without most of the texts that no pair has, before anything is shuffled: by a bitmap of ids, ``FILTER_BITS`` long at most."""
+def _among(texts: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Without most of the texts whose id isn't in ``ids(id)``, before anything is shuffled: by a bitmap, ``FILTER_BITS`` long at most."""
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(spot("id").alias("h"))
-    bits = ids.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    bits = ids.select(spot("id").alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
     bits = stage(bits, name)  # FILTER_BITS / 64 rows at most
     held = texts.withColumn("h", spot("doc_id")).withColumn("w", F.shiftright("h", 6)).join(F.broadcast(bits), "w")
     return held.where(F.expr("(shiftrightunsigned(bits, cast(h & 63 as int)) & 1L) = 1")).select(*texts.columns)
 
 
+def _settled(held: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """``held(key, doc_id, component, size)``: links (a, b) between components that share a bucket, enough of them to tell what reaches what."""
+    blocks = held.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES, F.lit(1))).cast("int").alias("blocks"))
+    dealt = held.join(blocks, "key").select("key", "doc_id", "component", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component")
+    rows = dealt.join(_among(texts, held.select(F.col("doc_id").alias("id")), "open-texts"), "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.select("key", "i", "j", "doc_id", "component", "text").mapInArrow(in_slices(_settle(words, least)), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, least: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """``(doc_id, class_id, kept)``: a row for each row of ``docs``; class_id is the smallest id that links reach.
 
@@ -173,31 +249,34 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col, F.length(text_col)).alias("t2"), F.col(text_col).alias("text"))
     named = base.where("doc_id is not null")
-    signed = stage(named.mapInArrow(_sign(words, rows, bands), "doc_id long, t1 long, t2 long, keys array<long>, s1 long, s2 long"), "signatures")
+    signed = stage(named.mapInArrow(in_slices(_sign(words, rows, bands)), "doc_id long, t1 long, t2 long, keys array<long>, s1 long, s2 long, size long"), "signatures")
     first = stage(signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("first")), "texts")
     several = signed.groupBy("doc_id").agg(F.min(F.struct("t1", "t2")).alias("low"), F.max(F.struct("t1", "t2")).alias("high")).where("low <> high").select("doc_id")
     copies = signed.select("doc_id", "t1", "t2").join(several, "doc_id", "left_semi").join(first, ["t1", "t2"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b")  # ids of several texts tie those together
     nodes = signed.join(first.select("t1", "t2", F.col("first").alias("doc_id")), ["t1", "t2", "doc_id"])
-    bits = stage(nodes.select("doc_id", "s1", "s2").distinct(), "signature-bits")
-    side = lambda x: bits.select(F.col("doc_id").alias(x), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}"))
-    may_link = _may_link(rows * bands, least)
+    bits = stage(nodes.groupBy("doc_id", "s1", "s2").agg(F.max("size").alias("size")), "signature-bits")
     bucket = stage(nodes.select(F.explode("keys").alias("key"), "doc_id").distinct(), "buckets")
-    lead = bucket.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a <> last").select("key", "a")
-    bucket = stage(bucket.join(lead, "key"), "shared-buckets")
+    sets = bucket.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).where("n > 1")
+    sets = sets.groupBy("n", "members").agg(F.min("key").alias("key"), (F.first("n") * F.count("*")).alias("company"))  # buckets of the same texts are one
+    shared = stage(bucket.join(sets.select("key", "company"), "key"), "shared-buckets")
+    discard(bucket)
+    company = shared.groupBy("doc_id").agg(F.sum("company").alias("company"))
+    lead = shared.select("key", "doc_id").join(company, "doc_id").groupBy("key").agg((-F.max(F.struct("company", (-F.col("doc_id")).alias("id")))["id"]).alias("a"))
+    shared = stage(shared.select("key", "doc_id").join(lead, "key"), "led-buckets")
     texts = named.select("doc_id", "text")
-    pairs = bucket.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    pairs = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(may_link).select("a", "b").distinct(), "star-pairs")
-    links = stage(_verified(pairs, _in_pairs(texts, pairs, "star-texts"), words, least).union(copies.select("a", "b")).distinct(), "star-links")
+    side = lambda x: bits.select(F.col("doc_id").alias(x), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}"))
+    pairs = shared.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    pairs = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(rows * bands, least)).select("a", "b").distinct(), "star-pairs")
+    near = _among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), "star-texts")
+    links = stage(_verified(pairs, near, words, least).union(copies.select("a", "b")).distinct(), "star-links")
     label = components(links, "star")
 
-    held = bucket.select("key", "doc_id").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_keys = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    held = stage(held.join(open_keys, "key").join(bits, "doc_id"), "open-buckets")
-    left, right = (held.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}")) for x in "ab")
-    cross = left.withColumnRenamed("key", "key_a").join(right, (F.col("key_a") == F.col("key")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link)
-    rest = stage(cross.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
-    if not rest.isEmpty():
-        more = stage(_verified(rest, _in_pairs(texts, rest, "cross-texts"), words, least), "cross-links")
+    held = shared.where("a <> doc_id").select("key", "doc_id").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    apart = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    held = stage(held.join(apart, "key").join(bits.groupBy("doc_id").agg(F.max("size").alias("size")), "doc_id"), "open-buckets")
+    discard(shared, pairs)
+    if not held.isEmpty():
+        more = stage(_settled(held, texts, words, least), "block-links")
         if not more.isEmpty():
             label = components(links.union(more), "all")
     label = label.select(F.col("node").alias("first"), "component")

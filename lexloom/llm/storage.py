@@ -1,35 +1,83 @@
 """Tables between the steps of one operator.
 
 They are written as Parquet to the folder that the cluster names in ``spark.checkpoint.dir`` and read again:
-that cuts the lineage, and a lost executor costs its running tasks only.
+that cuts the lineage, and a lost executor costs its running tasks only.  A table that no later step reads is deleted
+by ``discard``.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 #: Arrow batches hold whole texts, so their bytes are bounded besides their rows, where the session has Spark's own default.
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+SLICE_BYTES = 4 << 20
+_own: dict[str, str] = {}  # of local runs, by application
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a local one only where the session names none (tests)."""
+    """The shared folder that the session names.  Where it names none, a local run gets one of its own and a cluster an error."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set(KEY, found)
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"{KEY} names no folder that all executors share")
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="lexloom-")
+        found = _own[app]
     return found.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+    """Write ``df`` to the shared folder and return the written table; the session's settings are the same afterwards."""
     spark = df.sparkSession
-    if spark.conf.get(BATCH_KEY) == "67108864b":
-        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     path = f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(BATCH_KEY)
+    try:
+        if before == BATCH_DEFAULT:
+            spark.conf.set(BATCH_KEY, BATCH_BYTES)
+        df.write.parquet(path)
+    finally:
+        if before == BATCH_DEFAULT:
+            spark.conf.set(BATCH_KEY, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            spark = df.sparkSession
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def in_slices(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], column: str = "text", rows: int = 1 << 14) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over batches that hold ``SLICE_BYTES`` of ``column`` at most, or a single row, whatever the session's batches are."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch) <= rows and batch.nbytes <= SLICE_BYTES:
+                yield batch
+                continue
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+            begin = held = 0
+            for k, n in enumerate(sizes):
+                if k > begin and (held + n > SLICE_BYTES or k - begin == rows):
+                    yield batch.slice(begin, k - begin)
+                    begin, held = k, 0
+                held += n
+            if begin < len(batch):
+                yield batch.slice(begin)
+
+    return lambda batches: run(sliced(batches))

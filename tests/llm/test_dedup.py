@@ -5,9 +5,10 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexloom.llm import near_dedup
 from lexloom.llm.bytehash import arrow_text, word_hashes
 from lexloom.llm.graph import components
-from lexloom.llm.near_dedup import bag, near_duplicates, overlap, signatures
+from lexloom.llm.near_dedup import bag, near_duplicates, overlap, overlaps, signatures
 from lexloom.llm.nn_descent import near_vectors
 from lexloom.llm.suffix_array import suffix_array
 from lexloom.llm.suffix_dedup import suffix_dedup
@@ -93,6 +94,39 @@ def test_near_duplicates(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_overlaps():
+    draw = np.random.default_rng(12)
+    words = [draw.integers(0, 9, int(n)).astype(np.uint64) for n in draw.integers(1, 60, 30)]
+    bags = [bag(x, 2) for x in words] + [bag(np.empty(0, np.uint64), 2)]
+    found = overlaps(bags)
+    assert np.allclose(found, [[overlap(x, y) for y in bags] for x in bags])
+
+
+def test_buckets_without_a_centre(spark, monkeypatch):
+    """Chains of copies of copies: neighbours link, others don't, and no text links with all of its bucket."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    draw = np.random.default_rng(10)
+    texts = []
+    for _ in range(4):
+        t = list(draw.choice([f"w{k}" for k in range(500)], 200))
+        for _ in range(15):
+            texts.append(" ".join(t))
+            for i in draw.integers(0, len(t), 3):
+                t[i] = f"new{int(draw.integers(0, 10**9))}"
+    order = draw.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    hashes, ends = word_hashes(*arrow_text(pa.array(texts, pa.string())))
+    near = overlaps([bag(hashes[x:y], 5) for x, y in zip(ends, ends[1:], strict=False)]) >= 0.8
+    root = np.arange(len(texts))
+    while True:
+        new = np.minimum(root, np.where(near, root[None], len(texts)).min(axis=1))
+        if np.array_equal(new, root):
+            break
+        root = new
+    found = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(root.tolist())) and len(set(root.tolist())) < len(texts) / 3
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(50, 40), (40, 41), (60, 60)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
