@@ -157,6 +157,7 @@ def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         there = np.zeros((len(bags), COLUMNS), np.float32)
         there[row[x:y], column[x:y] - begin] = 1
         low += there @ there.T
+    np.fill_diagonal(low, size)
     high = size[:, None] + size[None] - low
     return np.where(high > 0, low / np.maximum(high, 1), 0.0)
 
