@@ -11,7 +11,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_VALUES = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _INVERSE = np.uint64(pow(_BASE, -1, 2**64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -36,14 +36,19 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return have
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """``len(data) + 1`` sums of byte value times power of the base."""
-    out = np.empty(len(data) + 1, np.uint64)
+def value_sums(values: np.ndarray) -> np.ndarray:
+    """``len(values) + 1`` sums of value times power of the base."""
+    out = np.empty(len(values) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(_BYTE[data] * powers(len(data))[: len(data)], out=out[1:])
+    np.cumsum(values * powers(len(values))[: len(values)], out=out[1:])
     return out
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """``value_sums`` of bytes, each of which has a random odd value."""
+    return value_sums(BYTE_VALUES[data])
+
+
 def windows(sums: np.ndarray, size: int) -> np.ndarray:
     """Hashes of every window of ``size`` bytes."""
     n = len(sums) - size
@@ -82,8 +87,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of several texts, and ``n + 1`` offsets of each text's words."""
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends, from the first text on, of the words ``[^\\x20\\x09-\\x0D]+`` of several texts, and ``n + 1`` offsets of each text's words."""
     base = offsets[0]
     data = data[base : offsets[-1]]
     ends = offsets - base
@@ -95,7 +100,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     start = np.flatnonzero(fresh)
     last = inside.copy()
     last[:-1] &= ~inside[1:] | fresh[1:]
-    return ranges(prefix_sums(data), start, np.flatnonzero(last) + 1), np.searchsorted(start, ends)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(start, ends)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of several texts, and ``n + 1`` offsets of each text's words."""
+    start, end, at = word_places(data, offsets)
+    return ranges(prefix_sums(data[offsets[0] : offsets[-1]]), start, end), at
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

@@ -24,7 +24,7 @@ def spans(texts, width):
     where = {}
     for k, t in enumerate(texts):
         for i in range(len(t) - width + 1):
-            where.setdefault(t[i : i + width], []).append((k, i))
+            where.setdefault(tuple(t[i : i + width]), []).append((k, i))
     gone = [np.zeros(len(t), bool) for t in texts]
     for places in where.values():
         if len(places) > 1:
@@ -51,6 +51,23 @@ def test_suffix_dedup(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_suffix_dedup_of_words(spark):
+    draw = np.random.default_rng(4)
+    words = lambda n: list(draw.choice([f"{c}{k}" for c in "abé" for k in range(30)], int(n)))
+    shared = [words(30) for _ in range(4)]
+    texts = [words(n) for n in draw.integers(0, 40, 12)] + [["a"] * 40, shared[0], shared[0]]
+    texts += [words(9) + s[int(draw.integers(0, 8)) :] + words(7) + s[:18] for s in shared for _ in range(3)]
+    spaced = ["".join(w + str(draw.choice([" ", "\n", "  ", "\t\r"])) for w in t) for t in texts]
+    gone = spans([[hash(w) for w in t] for t in texts], 12)
+    for hot in (1 << 18, 100):
+        docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(spaced)] + [(-1, None, 1)], "doc_id long, text string, k1 int")
+        out = {r["doc_id"]: r for r in suffix_dedup(docs, width=12, unit="words", hot_bytes=hot).collect()}
+        assert out[-1]["n_removed"] == 0
+        for k, t in enumerate(texts):
+            assert out[k]["kept_text"].split() == [w for w, g in zip(t, gone[k], strict=True) if not g]
+            assert out[k]["n_removed"] == len(spaced[k].encode()) - len(out[k]["kept_text"].encode())
+
+
 def test_bagminhash_is_unbiased():
     draw = np.random.default_rng(5)
     a = draw.integers(0, 5, 60)
