@@ -13,37 +13,53 @@ from lexloom.llm.near_dedup import near_duplicates
 from lexloom.llm.packing import pack
 from lexloom.llm.rule_ensemble import quality_scores
 from lexloom.llm.storage import stage
-from lexloom.llm.suffix_dedup import suffix_dedup
+from lexloom.llm.suffix_dedup import PASSAGE_WORDS, suffix_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good."""
+    """Documents that the quality classifier predicts to be good.
+
+    Null and empty texts are scored like others; each of repeated rows is; without labels every score is 0.5 and nothing stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_scores(docs, labels, keep=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    return docs.where("doc_id is null").union(docs.join(kept, "doc_id", "left_semi").select(docs.columns)).select(*COLUMNS)
+    """One document of each group of near copies, the one with the smallest id.
+
+    Rows that share an id are one document, of which the first row stays, by text and then the other columns.  Rows without
+    an id are never copies of anything and all stay; null and empty texts are copies of their like.
+    """
+    found = stage(near_duplicates(docs), "pipeline-classes")
+    kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi").select(*COLUMNS)
+    first = docs.join(kept.where("n > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x"))
+    return docs.where("doc_id is null").select(*COLUMNS).union(once).union(first.select("doc_id", "x.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that repeat; those of which nothing is left go."""
-    clean = suffix_dedup(docs, keep=("lang", "source", "text")).where("n_removed = 0 or trim(kept_text) <> ''")
+    """Documents without the passages of ``PASSAGE_WORDS`` words or more that are elsewhere too; those of which nothing is left go.
+
+    Every copy of a passage goes.  Null and empty texts stay as they are; repeated rows repeat each other and lose all.
+    """
+    clean = suffix_dedup(docs, keep=("lang", "source", "text"), width=PASSAGE_WORDS, unit="words").where("n_removed = 0 or trim(kept_text) <> ''")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return clean.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources has them; the repeated ones keep their id."""
+    """Documents as often as the mix of sources has them; the repeated ones keep their id.
+
+    A null source is a source; null and empty texts have no tokens and stand in every whole block.
+    """
     return mix_sources(docs).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens; null and empty texts are their end alone, each of repeated rows is packed."""
     return pack(docs)
 
 
