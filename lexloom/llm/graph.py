@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +31,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if label.where("was <> component").isEmpty():
             discard(both)
             return label.select("node", "component")
+
+
+def block_roots(near: np.ndarray, x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest name that each row and each column of a block of links reaches inside it."""
+    far = np.iinfo(np.int64).max
+    while True:
+        new_x = np.minimum(x, np.where(near, y[None], far).min(axis=1, initial=far))
+        new_y = new_x if same else np.minimum(y, np.where(near, new_x[:, None], far).min(axis=0, initial=far))
+        if np.array_equal(new_x, x) and np.array_equal(new_y, y):
+            return x, y
+        x, y = new_x, new_y

@@ -12,11 +12,12 @@ others: the text that has the most company in all of its buckets, so that copies
 is first told by one bit of each position of the signatures, inside the join: too many that differ put a link out of
 the question (chance below 1e-8).  Links are verified on the whole bags.
 
-A bucket whose texts are then all in one component is done, and so are the pairs with its lead.  What is left of the others
-is dealt out in pairs of blocks of bounded rows and bytes.  A task has all bags of its two blocks, finds every link
-between them, and gives each text with the smallest id that it reaches there: a row a text, and none for a pair.  So no
-candidate is left out, copies cost one comparison a text, and only a bucket of texts that stay unlike costs more: each of
-them goes to as many tasks as the bucket has blocks.
+A bucket whose texts are then all in one component is done, and so are the pairs with its lead.  In each of the others the
+texts outside the largest component are strays.  Strays are dealt out in blocks of bounded rows and bytes, each against
+itself, the other blocks of strays and the blocks of the largest component.  A task has all bags of its two blocks, finds
+every link between them, and gives each text with the smallest id that it reaches there: a row a text, and none for a pair.
+So no candidate is left out, copies cost one comparison a text, and only a bucket of texts that stay unlike costs more: each
+of its texts goes to as many tasks as there are blocks of strays.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.bytehash import arrow_text, mix64, shingles, word_hashes
-from lexloom.llm.graph import components
+from lexloom.llm.graph import block_roots, components
 from lexloom.llm.storage import discard, in_slices, stage
 
 WORDS, SIMILARITY = 5, 0.8
@@ -37,6 +38,7 @@ ROWS, BANDS = 5, 25
 CHUNK = 256
 #: Rows and bytes of text in a block, and columns of a block's incidence matrix at a time.
 BLOCK_ROWS, BLOCK_BYTES, COLUMNS = 256, 2 << 20, 2048
+MAIN = 4  # times as large are the blocks of the main component
 FILTER_BITS = 1 << 23
 _FAR = np.float64(np.inf)
 
@@ -140,63 +142,67 @@ def _verify(words: int, least: float):
     return run
 
 
-def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Weighted Jaccard similarities of all bags: a shingle that occurs k times is k items, so the bags are sets of items."""
-    size = np.array([int(x[1].sum()) for x in bags])
-    item = np.concatenate([mix64(np.repeat(x[0], x[1]) + np.concatenate([np.arange(n, dtype=np.uint64) for n in x[1]] or [np.empty(0, np.uint64)]) * np.uint64(0xA0761D6478BD642F)) if (x[1] > 1).any() else mix64(x[0]) for x in bags])
-    owner = np.repeat(np.arange(len(bags)), size)
-    _, place, times = np.unique(item, return_inverse=True, return_counts=True)
-    dense = np.cumsum(times > 1) - 1
-    held = times[place] > 1
-    column, row = dense[place[held]], owner[held]
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    low = np.zeros((len(bags), len(bags)), np.float64)
-    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        x, y = np.searchsorted(column, [begin, begin + COLUMNS])
-        there = np.zeros((len(bags), COLUMNS), np.float32)
-        there[row[x:y], column[x:y] - begin] = 1
-        low += there @ there.T
-    np.fill_diagonal(low, size)
-    high = size[:, None] + size[None] - low
+def overlaps(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of bags with bags: a shingle that occurs k times is k items, so the bags are sets of items."""
+
+    def items(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        times = np.concatenate([x[1] for x in bags]).astype(np.int64)
+        turn = (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+        size = np.array([int(x[1].sum()) for x in bags])
+        return mix64(np.repeat(np.concatenate([x[0] for x in bags]), times) + turn * np.uint64(0xA0761D6478BD642F)), np.repeat(np.arange(len(bags)), size), size
+
+    x, own_x, size_x = items(a)
+    y, own_y, size_y = items(b)
+    both = np.intersect1d(x, y)
+    low = np.zeros((len(a), len(b)))
+
+    def columns(item: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(both, item)
+        held = np.flatnonzero(both[np.minimum(place, len(both) - 1)] == item)
+        held = held[np.argsort(place[held], kind="stable")]
+        return place[held], owner[held]
+
+    if len(both):
+        (cx, rx), (cy, ry) = columns(x, own_x), columns(y, own_y)
+        for begin in range(0, len(both), COLUMNS):
+            left, right = np.zeros((len(a), COLUMNS), np.float32), np.zeros((len(b), COLUMNS), np.float32)
+            for column, row, into in ((cx, rx, left), (cy, ry, right)):
+                i, j = np.searchsorted(column, [begin, begin + COLUMNS])
+                into[row[i:j], column[i:j] - begin] = 1
+            low += left @ right.T
+    high = size_x[:, None] + size_y[None] - low
     return np.where(high > 0, low / np.maximum(high, 1), 0.0)
 
 
 def _settle(words: int, least: float):
-    """Sorted rows (key, i, j, doc_id, component, text) of a pair of blocks to (node, smallest node reached) where they differ."""
-
-    def reach(names: list[int], parts: list[int], bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        name, part = np.array(names, np.int64), np.array(parts, np.int64)
-        if len(set(parts)) < 2:
-            return name[:0], name[:0]
-        near = overlaps(bags) >= least
-        near &= part[:, None] != part
-        root, far = name.copy(), np.iinfo(np.int64).max
-        while True:
-            new = np.minimum(root, np.where(near, root[None], far).min(axis=1, initial=far))
-            if np.array_equal(new, root):
-                break
-            root = new
-        moved = root != name
-        return name[moved], root[moved]
+    """Sorted rows (key, i, j, own, doc_id, component, text) of a pair of blocks to (node, smallest node reached) where they differ."""
+
+    def reach(i: int, j: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        first, second = [x for x in rows if x[0] == i], [x for x in rows if x[0] == j]
+        nothing = np.empty(0, np.int64)
+        if not first or not second or len({x[2] for x in rows}) < 2:
+            return nothing, nothing
+        name_x, name_y, part_x, part_y = (np.array([x[k] for x in part], np.int64) for k in (1, 2) for part in (first, second))
+        near = (overlaps([x[3] for x in first], [x[3] for x in second]) >= least) & (part_x[:, None] != part_y[None])
+        root_x, root_y = block_roots(near, name_x, name_y, i == j)
+        found = [(n[n != r], r[n != r]) for n, r in ((name_x, root_x), (name_y, root_y))]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, parts, bags = None, [], [], []
+        now, rows = None, []
         for batch in batches:
             found = []
             hashes, ends = word_hashes(*arrow_text(batch.column("text")))
-            for i, (key, x, y, name, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "doc_id", "component")), strict=True)):
-                if (key, x, y) != now:
-                    if names:
-                        found.append(reach(names, parts, bags))
-                    now, names, parts, bags = (key, x, y), [], [], []
-                names.append(name)
-                parts.append(part)
-                bags.append(bag(hashes[ends[i] : ends[i + 1]], words))
+            for k, (key, i, j, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "doc_id", "component")), strict=True)):
+                if (key, i, j) != now:
+                    if rows:
+                        found.append(reach(*now[1:], rows))
+                    now, rows = (key, i, j), []
+                rows.append((*row, bag(hashes[ends[k] : ends[k + 1]], words)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in reach(names, parts, bags)], names=["a", "b"])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in reach(*now[1:], rows)], names=["a", "b"])
 
     return run
 
@@ -233,11 +239,18 @@ def _among(texts: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 def _settled(held: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """``held(key, doc_id, component, size)``: links (a, b) between components that share a bucket, enough of them to tell what reaches what."""
-    blocks = held.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES, F.lit(1))).cast("int").alias("blocks"))
-    dealt = held.join(blocks, "key").select("key", "doc_id", "component", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component")
+    parts = held.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    largest = F.max(F.struct("n", "size", "component"))
+    parts = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), largest.alias("main"))
+    blocks = lambda n, size, times: F.ceil(F.greatest(n / (BLOCK_ROWS * times), size / (BLOCK_BYTES * times), F.lit(1))).cast("int")
+    parts = parts.select("key", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"), 1).alias("strays"), blocks(F.col("main.n"), F.col("main.size"), MAIN).alias("mains"))
+    is_main, spread = F.col("component") == F.col("main"), lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    own = F.when(is_main, F.col("strays") + spread("mains")).otherwise(spread("strays"))
+    last = F.when(is_main, F.col("strays")).otherwise(F.col("strays") + F.col("mains")) - 1
+    dealt = held.join(parts, "key").select("key", "doc_id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component")
     rows = dealt.join(_among(texts, held.select(F.col("doc_id").alias("id")), "open-texts"), "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.select("key", "i", "j", "doc_id", "component", "text").mapInArrow(in_slices(_settle(words, least)), "a long, b long")
+    return rows.select("key", "i", "j", "own", "doc_id", "component", "text").mapInArrow(in_slices(_settle(words, least)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, least: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -255,15 +268,15 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     several = signed.groupBy("doc_id").agg(F.min(F.struct("t1", "t2")).alias("low"), F.max(F.struct("t1", "t2")).alias("high")).where("low <> high").select("doc_id")
     copies = signed.select("doc_id", "t1", "t2").join(several, "doc_id", "left_semi").join(first, ["t1", "t2"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b")  # ids of several texts tie those together
     nodes = signed.join(first.select("t1", "t2", F.col("first").alias("doc_id")), ["t1", "t2", "doc_id"])
-    bits = stage(nodes.groupBy("doc_id", "s1", "s2").agg(F.max("size").alias("size")), "signature-bits")
-    bucket = stage(nodes.select(F.explode("keys").alias("key"), "doc_id").distinct(), "buckets")
+    bits = stage(nodes.select("doc_id", "s1", "s2").distinct(), "signature-bits")
+    bucket = stage(nodes.select(F.explode("keys").alias("key"), "doc_id", "size").groupBy("key", "doc_id").agg(F.sum("size").alias("size")), "buckets")
     sets = bucket.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).where("n > 1")
     sets = sets.groupBy("n", "members").agg(F.min("key").alias("key"), (F.first("n") * F.count("*")).alias("company"))  # buckets of the same texts are one
     shared = stage(bucket.join(sets.select("key", "company"), "key"), "shared-buckets")
     discard(bucket)
     company = shared.groupBy("doc_id").agg(F.sum("company").alias("company"))
     lead = shared.select("key", "doc_id").join(company, "doc_id").groupBy("key").agg((-F.max(F.struct("company", (-F.col("doc_id")).alias("id")))["id"]).alias("a"))
-    shared = stage(shared.select("key", "doc_id").join(lead, "key"), "led-buckets")
+    shared = stage(shared.select("key", "doc_id", "size").join(lead, "key"), "led-buckets")
     texts = named.select("doc_id", "text")
     side = lambda x: bits.select(F.col("doc_id").alias(x), F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}"))
     pairs = shared.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
@@ -272,9 +285,9 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     links = stage(_verified(pairs, near, words, least).union(copies.select("a", "b")).distinct(), "star-links")
     label = components(links, "star")
 
-    held = shared.where("a <> doc_id").select("key", "doc_id").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    held = shared.where("a <> doc_id").select("key", "doc_id", "size").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
     apart = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    held = stage(held.join(apart, "key").join(bits.groupBy("doc_id").agg(F.max("size").alias("size")), "doc_id"), "open-buckets")
+    held = stage(held.join(apart, "key"), "open-buckets")
     discard(shared, pairs)
     if not held.isEmpty():
         more = stage(_settled(held, texts, words, least), "block-links")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.graph import components
+from lexloom.llm.graph import block_roots, components
 from lexloom.llm.storage import stage
 
 LEAST = 0.98
@@ -211,17 +211,6 @@ def _verify(least: float):
     return run
 
 
-def _roots(near: np.ndarray, x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest name that each row and each column of a block of links reaches inside it."""
-    far = np.iinfo(np.int64).max
-    while True:
-        new_x = np.minimum(x, np.where(near, y[None], far).min(axis=1, initial=far))
-        new_y = new_x if same else np.minimum(y, np.where(near, new_x[:, None], far).min(axis=0, initial=far))
-        if np.array_equal(new_x, x) and np.array_equal(new_y, y):
-            return x, y
-        x, y = new_x, new_y
-
-
 def _count_pairs(least: float):
     """Sorted rows (component, i, j, own, node, size, unit) of a pair of blocks to (node, links, root in the block)."""
 
@@ -235,7 +224,7 @@ def _count_pairs(least: float):
                 np.fill_diagonal(near, False)
             names = [r[1] for r in first]
             links = (near @ np.array([r[2] for r in second], np.int64)).tolist()
-            root = _roots(near, *(np.array([r[1] for r in part], np.int64) for part in (first, second)), i == j)
+            root = block_roots(near, *(np.array([r[1] for r in part], np.int64) for part in (first, second)), i == j)
             roots = root[0].tolist()
             if i != j:
                 names += [r[1] for r in second]
