@@ -223,4 +223,4 @@ def languages(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id"
     fields = [("doc_id", docs.schema[id_col].dataType), ("held_out", T.BooleanType()), ("lang_pred", T.StringType()), ("score", T.DoubleType())]
     if spans:
         fields.append(("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))))
-    return base.select("doc_id", "text", "held_out").mapInArrow(_predict(shared, switch, most, spans), T.StructType([T.StructField(*x) for x in fields]))
+    return stage(base.select("doc_id", "text", "held_out").mapInArrow(_predict(shared, switch, most, spans), T.StructType([T.StructField(*x) for x in fields])), "languages")

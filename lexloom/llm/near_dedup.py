@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.bytehash import arrow_text, mix64, shingles, word_hashes
 from lexloom.llm.graph import block_roots, components
-from lexloom.llm.storage import discard, in_slices, stage
+from lexloom.llm.storage import discard, in_slices, sieve, stage
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 25
@@ -39,7 +39,6 @@ CHUNK = 256
 #: Rows and bytes of text in a block, and columns of a block's incidence matrix at a time.
 BLOCK_ROWS, BLOCK_BYTES, COLUMNS = 256, 2 << 20, 2048
 MAIN = 4  # times as large are the blocks of the main component
-FILTER_BITS = 1 << 23
 _FAR = np.float64(np.inf)
 
 
@@ -229,12 +228,8 @@ def _may_link(size: int, least: float):
 
 
 def _among(texts: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Without most of the texts whose id isn't in ``ids(id)``, before anything is shuffled: by a bitmap, ``FILTER_BITS`` long at most."""
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = ids.select(spot("id").alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
-    bits = stage(bits, name)  # FILTER_BITS / 64 rows at most
-    held = texts.withColumn("h", spot("doc_id")).withColumn("w", F.shiftright("h", 6)).join(F.broadcast(bits), "w")
-    return held.where(F.expr("(shiftrightunsigned(bits, cast(h & 63 as int)) & 1L) = 1")).select(*texts.columns)
+    """Without most of the texts whose id isn't in ``ids(id)``, before anything is shuffled."""
+    return sieve(texts, F.col("doc_id"), ids, name).where("__maybe").drop("__maybe")
 
 
 def _settled(held: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:

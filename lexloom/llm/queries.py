@@ -15,7 +15,7 @@ from lexloom.llm.near_dedup import near_duplicates
 from lexloom.llm.packing import pack
 from lexloom.llm.robust_outliers import quality_outliers
 from lexloom.llm.rule_ensemble import quality_scores
-from lexloom.llm.suffix_dedup import suffix_dedup
+from lexloom.llm.suffix_dedup import PASSAGE_WORDS, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return suffix_dedup(_table(spark, sf_dir, "documents"), with_text=False, passages=PASSAGE_WORDS)
 
 
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:

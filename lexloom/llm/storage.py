@@ -13,12 +13,14 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 #: Arrow batches hold whole texts, so their bytes are bounded besides their rows, where the session has Spark's own default.
 BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 SLICE_BYTES = 4 << 20
+SIEVE_BITS = 1 << 23
 _own: dict[str, str] = {}  # of local runs, by application
 
 
@@ -81,3 +83,16 @@ def in_slices(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
                 yield batch.slice(begin)
 
     return lambda batches: run(sliced(batches))
+
+
+def sieve(df: DataFrame, key: Column, ids: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``__maybe``: false only where ``key`` isn't among the longs of the one column of ``ids``.
+
+    So rows that a join would drop needn't be shuffled for it.  It is a bitmap of ``SIEVE_BITS`` at most, whatever the
+    number of ids; the fuller it is, the more rows pass.
+    """
+    spot = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(SIEVE_BITS)).alias("h")
+    bits = ids.select(spot).groupBy(F.shiftright("h", 6).alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("__bits"))
+    bits = stage(bits, name)  # SIEVE_BITS / 64 rows at most
+    held = df.withColumn("__h", F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))).withColumn("__w", F.shiftright("__h", 6)).join(F.broadcast(bits), "__w", "left")
+    return held.withColumn("__maybe", F.coalesce(F.expr("(shiftrightunsigned(__bits, cast(__h & 63 as int)) & 1L) = 1"), F.lit(False))).drop("__h", "__w", "__bits")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm.bytehash import BYTE_VALUES, arrow_text, ranges, sliding_min, value_sums, windows, word_hashes, word_places
-from lexloom.llm.storage import discard, in_slices, stage
+from lexloom.llm.storage import discard, in_slices, sieve, stage
 from lexloom.llm.suffix_array import suffix_array
 
 WIDTH = 400
@@ -246,7 +246,9 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", id_col: str = "do
     kinds = stage(kinds, "piece-kinds")
     whole = kinds.where("times > 1").select("key", "piece", F.lit(0).alias("a"), (F.col("n") - 1 + width).cast("int").alias("b"))
     wanted = kinds.where("unlike").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("key", "piece", "at.start", "n")).alias("wanted"))
-    cuts = keyed.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut(width, unit), "key long, piece long, bytes binary").dropDuplicates(["key", "piece"])
+    wanted = stage(wanted, "wanted-pieces")
+    some = sieve(keyed, F.col("k1").bitwiseXOR(F.col("k2")), wanted.select(F.col("k1").bitwiseXOR(F.col("k2")).alias("k")), "wanted-documents").where("__maybe")
+    cuts = some.join(wanted.hint("merge"), ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut(width, unit), "key long, piece long, bytes binary").dropDuplicates(["key", "piece"])
     cuts = stage(cuts, "cut-pieces")
     hot = cuts.groupBy("key").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > hot_bytes).select("key")
     hot = stage(hot, "hot-keys")
@@ -259,7 +261,7 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", id_col: str = "do
         some = some.union(each.join(twice, ["key", "window"]).select("key", "piece", "a", (F.col("a") + width).cast("int").alias("b")))
     some = whole.union(some).groupBy("key", "piece").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     some = stage(some.mapInArrow(_merge, "key long, piece long, spans array<struct<a:int,b:int>>"), "covered-pieces")
-    discard(kinds, cuts, hot, *([each] if each is not None else []))
+    discard(kinds, wanted, cuts, hot, *([each] if each is not None else []))
     shifted = F.transform("spans", lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b")))
     out = stage(found.join(some, ["key", "piece"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list(shifted)).alias("spans")).mapInArrow(_merge_documents, "k1 long, k2 long, spans array<struct<a:int,b:int>>"), "repeated-spans")
     discard(found, some)
@@ -285,7 +287,7 @@ def _in_bytes(text: np.ndarray, spans: list[dict], unit: str) -> list[tuple[int,
     return [(int(start[a]), int(start[b])) for a, b in runs]
 
 
-def _remove(names: list[str], unit: str):
+def _remove(names: list[str], unit: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = arrow_text(batch.column("__text"))
@@ -306,25 +308,37 @@ def _remove(names: list[str], unit: str):
                 n_removed.append(sum(b - a for a, b in runs))
                 n_spans.append(len(runs))
                 digest.append(hashlib.sha256(b"".join(left)).hexdigest())
-                kept.append(b"".join(clean).decode())
+                if with_text:
+                    kept.append(b"".join(clean).decode())
             own = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.string())] if with_text else [])], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])])
 
     return in_slices(run, "__text")
 
 
-def suffix_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), width: int = WIDTH, unit: str = "bytes", hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """One row for each row of ``docs``: id, ``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
+def suffix_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), width: int = WIDTH, unit: str = "bytes", hot_bytes: int = HOT_BYTES, with_text: bool = True, passages: int | None = None) -> DataFrame:
+    """One row for each row of ``docs``: id, ``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256, kept_text if wanted.
 
     ``width`` counts bytes, or words (``[^\\x20\\x09-\\x0D]+``) if ``unit`` is ``words``; removed words take the white space
     after them along.  ``kept_sha256`` is of the remaining bytes; ``kept_text`` leaves characters whole that a removed run
-    only cuts.  Null text counts as empty; null ids are ids like others; texts under ``width`` lose nothing; an empty table
-    gives an empty result; columns other than those named are ignored, whatever their names.
+    only cuts.  With ``passages``, n_passage_words counts the words covered by strings of so many words that are elsewhere
+    too; they are only counted.  Null text counts as empty; null ids are ids like others; texts under ``width`` lose nothing;
+    an empty table gives an empty result; columns other than those named are ignored, whatever their names.
     """
     names = [id_col, *keep]
+    own = [F.xxhash64(id_col).alias("__k1"), F.xxhash64(text_col).alias("__k2")]
+    keyed = docs.select(*names, *own, F.col(text_col).alias("__text"))
     spans = repeated_spans(docs, text_col=text_col, id_col=id_col, width=width, unit=unit, hot_bytes=hot_bytes)
-    keyed = docs.select(*names, F.xxhash64(id_col).alias("__k1"), F.xxhash64(text_col).alias("__k2"), F.col(text_col).alias("__text"))
     spans = spans.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
-    joined = keyed.join(spans, ["__k1", "__k2"], "left").select(*names, "__text", "__spans")
-    fields = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(_remove(names, unit), fields)
+    some = sieve(keyed, F.col("__k1").bitwiseXOR(F.col("__k2")), spans.select(F.col("__k1").bitwiseXOR(F.col("__k2")).alias("k")), "repeating-documents")
+    rest = some.where("not __maybe").drop("__maybe").withColumn("__spans", F.lit(None).cast("array<struct<a:int,b:int>>"))
+    joined = some.where("__maybe").drop("__maybe").join(spans.hint("merge"), ["__k1", "__k2"], "left").select(*rest.columns).union(rest)
+    held = ["__k1", "__k2"] if passages else []
+    more = ["n_bytes", "n_removed", "n_spans"]
+    fields = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.LongType()) for c in [*held, *more]), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept_text", T.StringType())] if with_text else [])])
+    out = stage(joined.mapInArrow(_remove([*names, *held], unit, with_text), fields), "kept-texts")
+    if not passages:
+        return out
+    counted = repeated_spans(docs, text_col=text_col, id_col=id_col, width=passages, unit="words", hot_bytes=hot_bytes)
+    counted = counted.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"]).alias("n_passage_words"))
+    return out.join(counted.hint("merge"), ["__k1", "__k2"], "left").withColumn("n_passage_words", F.coalesce("n_passage_words", F.lit(0).cast("long"))).drop("__k1", "__k2")

@@ -51,6 +51,17 @@ def test_suffix_dedup(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_passages_are_counted(spark):
+    draw = np.random.default_rng(6)
+    words = lambda n: list(draw.choice([f"w{k}" for k in range(900)], int(n)))
+    shared = words(30)
+    texts = [words(50), words(9) + shared + words(20), shared[:20] + words(5), [], words(3)]
+    rows = [(k, " ".join(t) if t else None, 0) for k, t in enumerate(texts)]
+    out = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string, n_passage_words int"), with_text=False, passages=12)
+    assert {r["doc_id"]: r["n_passage_words"] for r in out.collect()} == {k: int(g.sum()) for k, g in enumerate(spans(texts, 12))} == {0: 0, 1: 20, 2: 20, 3: 0, 4: 0}
+    assert "kept_text" not in out.columns
+
+
 def test_suffix_dedup_of_words(spark):
     draw = np.random.default_rng(4)
     words = lambda n: list(draw.choice([f"{c}{k}" for c in "abé" for k in range(30)], int(n)))
