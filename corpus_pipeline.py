@@ -12,7 +12,7 @@ from lexloom.llm.mixing import mix_sources
 from lexloom.llm.near_dedup import near_duplicates
 from lexloom.llm.packing import pack
 from lexloom.llm.rule_ensemble import quality_scores
-from lexloom.llm.storage import stage
+from lexloom.llm.storage import sieve, stage
 from lexloom.llm.suffix_dedup import PASSAGE_WORDS, suffix_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,11 +33,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id are one document, of which the first row stays, by text and then the other columns.  Rows without
     an id are never copies of anything and all stay; null and empty texts are copies of their like.
     """
-    found = stage(near_duplicates(docs), "pipeline-classes")
-    kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi").select(*COLUMNS)
-    first = docs.join(kept.where("n > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x"))
-    return docs.where("doc_id is null").select(*COLUMNS).union(once).union(first.select("doc_id", "x.*"))
+    found = stage(near_duplicates(docs), "pipeline-classes").where("doc_id is not null")
+    gone = stage(found.where("not kept").select("doc_id").distinct(), "pipeline-copies")
+    held = sieve(docs.select(*COLUMNS), F.col("doc_id"), gone, "pipeline-copies-sieve")  # only what may be a copy is shuffled
+    left = held.where("not __maybe").union(held.where("__maybe").join(gone.hint("merge"), "doc_id", "left_anti")).select(*COLUMNS)
+    several = stage(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "pipeline-shared-ids")
+    if several.isEmpty():
+        return left
+    first = left.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x"))
+    return left.join(several, "doc_id", "left_anti").select(*COLUMNS).union(first.select("doc_id", "x.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
