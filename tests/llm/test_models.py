@@ -167,6 +167,8 @@ def test_tokens_and_states():
     low = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "") for t in texts]
     want = [[w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", t)] for t in low]
     assert [[tokens.words[k] for k in tokens.word[tokens.doc == i]] for i in range(len(texts))] == want
+    part = lm.Tokens.of(pa.array(texts, pa.string()).slice(7, 20))
+    assert [[part.words[k] for k in part.word[part.doc == i]] for i in range(20)] == want[7:27]
     leaves = lm.Leaves([b"the", b"a", b"", b"b"], 2)
     leaf, state, offsets = leaves.of(tokens)
     for i, t in enumerate(want):
@@ -188,7 +190,7 @@ def test_leaves_sum_to_one_and_follow_the_counts():
         row, node, bit = tree.steps(leaf)
         slots = lm._word_slots(np.full(len(leaf), 6)[row], node, counts.first)
         mixer.learn(*lm._word_inputs(counts.n[0][slots], counts.n[1][slots]), bit, np.ones(len(bit)))
-        counts.add(slots, bit, np.ones(len(bit)))
+        counts.add(slots, 1.0 - bit, bit)
     found = lm.leaf_scores(tree, counts, mixer, 8)
     assert np.allclose((10.0**found).sum(axis=1), 1, atol=1e-4)
     assert (10.0 ** found[6, :5]).sum() > 0.97
@@ -205,7 +207,7 @@ def test_spelling_sums_to_one_at_most():
     slots, bit, _ = lm._spelling(words)
     for _ in range(5):
         mixer.learn(*lm._spell_inputs(counts.n[0][slots], counts.n[1][slots]), bit, np.ones(len(bit)))
-        counts.add(slots, bit, np.ones(len(bit)))
+        counts.add(slots, 1.0 - bit, bit)
     every = [b"a" + bytes(x) for n in (0, 1, 2) for x in __import__("itertools").product([c for c in range(256) if chr(c) not in " \t\n\x0b\x0c\r"], repeat=n)]
     mass = 10.0 ** lm.spelt(every, counts, mixer)
     assert mass.sum() < 1 + 1e-6 and mass[every.index(b"ab")] + mass[every.index(b"abc")] > 0.8
