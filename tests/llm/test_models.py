@@ -189,7 +189,7 @@ def test_leaves_sum_to_one_and_follow_the_counts():
         leaf = draw.integers(0, 5, 500)
         row, node, bit = tree.steps(leaf)
         slots = lm._word_slots(np.full(len(leaf), 6)[row], node, counts.first)
-        mixer.learn(*lm._word_inputs(counts.n[0][slots], counts.n[1][slots]), bit, np.ones(len(bit)))
+        mixer.learn(*lm._word_inputs(*counts.of(slots)), bit, np.ones(len(bit)))
         counts.add(slots, 1.0 - bit, bit)
     found = lm.leaf_scores(tree, counts, mixer, 8)
     assert np.allclose((10.0**found).sum(axis=1), 1, atol=1e-4)
@@ -197,7 +197,7 @@ def test_leaves_sum_to_one_and_follow_the_counts():
     for k in range(40):  # the walk, bit by bit
         _, node, bit = tree.steps(np.array([k]))
         slots = lm._word_slots(np.full(len(node), 6), node, counts.first)
-        p = mixer.predict(*lm._word_inputs(counts.n[0][slots], counts.n[1][slots]))
+        p = mixer.predict(*lm._word_inputs(*counts.of(slots)))
         assert math.isclose(found[6, k], np.log10(np.where(bit == 1, p, 1 - p)).sum(), abs_tol=1e-3)
 
 
@@ -206,7 +206,7 @@ def test_spelling_sums_to_one_at_most():
     words = [b"ab", b"abc", b"b", b"ba"] * 50
     slots, bit, _ = lm._spelling(words)
     for _ in range(5):
-        mixer.learn(*lm._spell_inputs(counts.n[0][slots], counts.n[1][slots]), bit, np.ones(len(bit)))
+        mixer.learn(*lm._spell_inputs(*counts.of(slots)), bit, np.ones(len(bit)))
         counts.add(slots, 1.0 - bit, bit)
     every = [b"a" + bytes(x) for n in (0, 1, 2) for x in __import__("itertools").product([c for c in range(256) if chr(c) not in " \t\n\x0b\x0c\r"], repeat=n)]
     mass = 10.0 ** lm.spelt(every, counts, mixer)
