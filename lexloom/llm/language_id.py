@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm.bytehash import mix64, powers
-from lexloom.llm.storage import stage
+from lexloom.llm.storage import in_slices, stage
 
 ORDERS, BITS = 4, 14
 #: Cost of a change of language, and the most by which one word speaks for a language of its script, in nats.
@@ -207,7 +207,7 @@ def languages(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id"
     train = base.where("not held_out and lang is not null")
     langs = [r["lang"] for r in train.select("lang").distinct().orderBy("lang").collect()]  # names of languages only
     schema = "lang int, part int, salt int, vector binary"
-    sums = train.select("lang", "text").mapInArrow(_count(langs, 32), schema).repartition("lang", "part", "salt").mapInArrow(_add, schema)
+    sums = train.select("lang", "text").mapInArrow(in_slices(_count(langs, 32)), schema).repartition("lang", "part", "salt").mapInArrow(_add, schema)
     sums = stage(sums.repartition("lang", "part").mapInArrow(_add, schema), "gram-counts").select("lang", "part", "vector").toArrow()
     count = np.zeros((len(langs), ORDERS, 1 << BITS))
     script = np.zeros((len(langs), len(_NAMES)))
@@ -223,4 +223,4 @@ def languages(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id"
     fields = [("doc_id", docs.schema[id_col].dataType), ("held_out", T.BooleanType()), ("lang_pred", T.StringType()), ("score", T.DoubleType())]
     if spans:
         fields.append(("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))))
-    return stage(base.select("doc_id", "text", "held_out").mapInArrow(_predict(shared, switch, most, spans), T.StructType([T.StructField(*x) for x in fields])), "languages")
+    return stage(base.select("doc_id", "text", "held_out").mapInArrow(in_slices(_predict(shared, switch, most, spans)), T.StructType([T.StructField(*x) for x in fields])), "languages")

@@ -37,7 +37,7 @@ WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 25
 CHUNK = 256
 #: Rows and bytes of text in a block, and columns of a block's incidence matrix at a time.
-BLOCK_ROWS, BLOCK_BYTES, COLUMNS = 256, 2 << 20, 2048
+BLOCK_ROWS, BLOCK_BYTES, COLUMNS = 256, 1 << 19, 2048
 MAIN = 4  # times as large are the blocks of the main component
 _FAR = np.float64(np.inf)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.storage import stage
+from lexloom.llm.storage import in_slices, stage
 
 CAPACITY = 2048
 Pattern = tuple[tuple[int, ...], int]
@@ -268,7 +268,7 @@ def pack(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", cap
     kind = docs.schema[id_col].dataType
     names = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(*x) for x in names), T.StructField("task", T.IntegerType()), T.StructField("rank", T.LongType())])
-    pieces = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(files, capacity), schema), "pieces-to-pack")
+    pieces = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(in_slices(_pieces(files, capacity)), schema), "pieces-to-pack")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     by_task = by_task.select("length", "task", "n", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     by_task = stage(by_task, "piece-sizes")

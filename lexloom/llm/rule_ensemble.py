@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm.bytehash import arrow_text, shingles, word_hashes
-from lexloom.llm.storage import stage
+from lexloom.llm.storage import in_slices, stage
 
 #: Labelled rows to fit on, at most; trees, depth, thresholds a statistic, strength of the lasso.
 SAMPLE, TREES, DEPTH, BINS, LASSO = 20_000, 40, 3, 24, 0.002
@@ -176,7 +176,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, text_col: str = "text"
     names = [id_col, *keep]
     base = docs.select(*names, F.col(text_col).alias("__text"))
     schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(s, T.DoubleType()) for s in STATISTICS)])
-    measured = stage(base.mapInArrow(_measure(names), schema), "statistics")
+    measured = stage(base.mapInArrow(in_slices(_measure(names), "__text"), schema), "statistics")
     remainder = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
     learn = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("__label")).where("__label is not null").where(remainder != held)
     rows = measured.join(learn, id_col).select("__label", *STATISTICS, F.xxhash64(id_col, *STATISTICS).alias("__order"))

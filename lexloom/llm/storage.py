@@ -64,6 +64,17 @@ def discard(*tables: DataFrame) -> None:
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def _release() -> None:
+    """Give freed memory back, as Python workers live on from stage to stage."""
+    import ctypes
+    import ctypes.util
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def in_slices(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], column: str = "text", rows: int = 1 << 14) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` over batches that hold ``SLICE_BYTES`` of ``column`` at most, or a single row, whatever the session's batches are."""
 
@@ -82,7 +93,11 @@ def in_slices(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
             if begin < len(batch):
                 yield batch.slice(begin)
 
-    return lambda batches: run(sliced(batches))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(sliced(batches))
+        _release()
+
+    return whole
 
 
 def sieve(df: DataFrame, key: Column, ids: DataFrame, name: str) -> DataFrame:
