@@ -26,7 +26,7 @@ TOPICS = {
     "THẾ GIỚI": "Thế giới", "XÃ HỘI": "Xã hội", "THỜI SỰ": "Thời sự", "PHÁP LUẬT": "Pháp luật", "THỂ THAO": "Thể thao", "GIẢI TRÍ": "Giải trí",
     "GIÁO DỤC": "Giáo dục", "KINH DOANH": "Kinh doanh", "CÔNG NGHỆ": "Công nghệ", "ĐỜI SỐNG": "Đời sống", "SỨC KHỎE": "Sức khỏe", "VĂN HÓA": "Văn hóa",
 }
-NO_TOPIC, NO_SOURCE = "Chưa phân loại", "Khác"
+NO_TOPIC, NO_SOURCE, NO_DATE = "Chưa phân loại", "Khác", "Không rõ ngày"
 PASSAGE_PREFIX, QUERY_PREFIX = "passage: ", "query: "
 
 
@@ -73,14 +73,26 @@ def strip_boilerplate(column: Column | str) -> Column:
     return c
 
 
-def tokens(column: Column | str) -> Column:
-    """Tokens of repaired text: folded words; joined words are followed by their parts."""
+def repaired(column: Column | str) -> Column:
+    """Decoding repair; null as empty."""
+    from lexloom.functions.repair import fix_mojibake
+
+    return fix_mojibake(column)
+
+
+def plain_tokens(column: Column | str) -> Column:
+    """Tokens of text that is repaired already: folded words; joined words are followed by their parts."""
     found = F.regexp_extract_all(strip_boilerplate(fold(column)), F.lit(TOKEN_PATTERN), F.lit(0))
     kept = F.filter(found, lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$"))
     parts = lambda t: F.when(F.contains(t, F.lit("_")), F.concat(F.array(t), F.filter(F.split(t, "_"), lambda p: F.length(p) > 1))).otherwise(F.array(t))
     return F.flatten(F.transform(kept, parts))
 
 
+def tokens(column: Column | str) -> Column:
+    """Tokens of any text, repaired first."""
+    return plain_tokens(repaired(column))
+
+
 def normalize_text(column: Column | str) -> Column:
     return F.array_join(tokens(column), " ")
 
@@ -95,7 +107,13 @@ def shorten(column: Column | str, most: int) -> Column:
 
 
 def clean_display(column: Column | str, most: int | None = None) -> Column:
-    """Single spaces, shortened; of repaired text."""
+    """Repaired, with single spaces, shortened."""
+    c = collapse_space(repaired(as_text(column)))
+    return c if most is None else shorten(c, most)
+
+
+def plain_display(column: Column | str, most: int | None = None) -> Column:
+    """``clean_display`` of text that is repaired already."""
     c = collapse_space(as_text(column))
     return c if most is None else shorten(c, most)
 
@@ -137,6 +155,18 @@ def words(column: Column | str) -> Column:
     return F.filter(F.split(_c(column), r"(?U)\s+"), lambda x: x != "")
 
 
+def coalesce_columns(df, *names: str) -> Column:
+    """The first of the named columns that the frame has and that isn't null or blank."""
+    have = [F.when(F.trim(as_text(c)) != "", F.col(c)) for c in names if c in df.columns]
+    return F.coalesce(*have) if have else F.lit(None)
+
+
+def display_date(column: Column | str) -> Column:
+    """The day as it is shown, day first; what is no day is said to be unknown."""
+    day = F.try_to_timestamp(F.substring(as_text(column), 1, 10), F.lit("yyyy-MM-dd"))
+    return F.coalesce(F.date_format(day, "d/M/yyyy"), F.lit(NO_DATE))
+
+
 def word_count(column: Column | str) -> Column:
     return F.size(words(as_text(column)))
 

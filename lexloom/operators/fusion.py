@@ -23,7 +23,7 @@ def reciprocal_rank_fusion(keyword: DataFrame, semantic: DataFrame, top_k: int =
     first = lambda mode: F.min(F.when(F.col("mode") == mode, F.col("rank")))
     fused = both.groupBy("query_id", "key").agg(
         F.round(F.sum(rrf("rank", k)), DIGITS + 2).alias("score"), of("keyword", "score").alias("keyword_score"), of("semantic", "score").alias("semantic_score"),
-        of("keyword", "rank").alias("keyword_rank"), of("semantic", "rank").alias("semantic_rank"), F.array_sort(F.collect_set("mode")).alias("matched_modes"),
+        of("keyword", "rank").alias("keyword_rank"), of("semantic", "rank").alias("semantic_rank"), F.array_sort(F.collect_set("mode")).alias("matched_modes"),  # the keyword list comes first
         F.coalesce(first("keyword"), F.lit(1 << 30)).alias("__k"), F.coalesce(first("semantic"), F.lit(1 << 30)).alias("__s"),
     )
     return ranked(fused, top_k, "__k", "__s").drop("__k", "__s")
@@ -65,3 +65,15 @@ def token_overlap(query_tokens: Column, text_tokens: Column) -> Column:
     """A stand-in for a reranking model: the share of query tokens that the text has."""
     a = F.array_distinct(query_tokens)
     return F.round(F.when(F.size(a) > 0, F.size(F.array_intersect(a, text_tokens)) / F.size(a)).otherwise(0.0), DIGITS)
+
+
+def with_representatives(fused: DataFrame, keyword: DataFrame, semantic: DataFrame, key: str = "key") -> DataFrame:
+    """Fused rows with what is shown of their result: the semantic list's row where it has one, else the keyword list's.
+
+    Both lists have ``key`` and the columns of results; of several rows of a key a list's last one counts.
+    """
+    from lexloom.operators.lexical import SHOWN
+
+    side = lambda df, first: df.select("query_id", F.col(key).alias("key"), F.struct(F.lit(first).alias("first"), "rank").alias("place"), F.struct(*SHOWN).alias("row"))
+    rows = side(keyword, 0).unionByName(side(semantic, 1)).groupBy("query_id", "key").agg(F.max_by("row", "place").alias("row"))
+    return fused.join(rows, ["query_id", "key"]).select(*fused.columns, "row.*")

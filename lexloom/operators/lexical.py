@@ -19,6 +19,10 @@ from lexloom.functions import values as V
 from lexloom.sources.articles import require, write_table
 
 DIGITS = 6
+#: Up to so many different terms are looked for while documents are tokenised; more are joined.
+LISTED_TERMS = 10_000
+#: Documents in a block of the presence index.
+PRESENCE_BLOCK = 1 << 16
 
 
 class SearchEngine(Protocol):
@@ -32,7 +36,8 @@ def index_text(title_weight: int = 3) -> Column:
 
 
 def term_frequencies(documents: DataFrame, text: Column, key: str = "doc_index") -> DataFrame:
-    return documents.select(key, F.explode(X.tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """``text`` is of documents, which are repaired when they are loaded."""
+    return documents.select(key, F.explode(X.plain_tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def doc_lengths(documents: DataFrame, tf: DataFrame, key: str = "doc_index") -> DataFrame:
@@ -48,9 +53,9 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def presence_index(tf: DataFrame, key: str = "doc_index") -> DataFrame:
-    """Each term with the sorted ids that have it."""
-    return tf.groupBy("term").agg(F.sort_array(F.collect_set(key)).alias("ids"))
+def presence_index(tf: DataFrame, key: str = "doc_index", block: int = PRESENCE_BLOCK) -> DataFrame:
+    """``(term, block, ids)``: the sorted ids that have a term, in blocks of ``block`` neighbouring ids, so that no row holds a whole corpus."""
+    return tf.groupBy("term", F.floor(F.col(key) / block).cast("long").alias("block")).agg(F.sort_array(F.collect_set(key)).alias("ids"))
 
 
 def select_terms(queries: DataFrame, informative: bool = True) -> DataFrame:
@@ -73,24 +78,36 @@ def ranked(scores: DataFrame, top_k: int, *ties: str, score: str = "score") -> D
     return scores.withColumn("rank", place).where(F.col("rank") <= max(top_k, 0))
 
 
+SHOWN = ("doc_id", "chunk_id", "title", "snippet", "url", "source", "topic", "author", "crawled_at", "crawled_text")
+
+
+def shown(documents: DataFrame) -> list[Column]:
+    """What is shown of documents, which are repaired when they are loaded."""
+    have = lambda c, kind: F.col(c) if c in documents.columns else F.lit(None).cast(kind).alias(c)
+    return [F.col("doc_id"), F.col("chunk_id"), X.plain_display("title").alias("title"), X.plain_display("content", 300).alias("snippet"), F.col("url"), *(X.plain_display(c).alias(c) for c in ("source", "topic", "author")), have("crawled_at", "double"), have("crawled_text", "string")]
+
+
 def materialise(hits: DataFrame, documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Hits with what is shown of their documents; only after the cut, so few documents are read whole."""
-    shown = documents.select("doc_index", "doc_id", "chunk_id", X.clean_display("title").alias("title"), X.clean_display("content", 300).alias("snippet"), "url", X.clean_display("source").alias("source"), X.clean_display("topic").alias("topic"), X.clean_display("author").alias("author"))
-    return hits.join(shown, "doc_index").select("query_id", "rank", "doc_index", "score", "doc_id", "chunk_id", "title", "snippet", "url", "source", "topic", "author", *keep)
+    return hits.join(documents.select("doc_index", *shown(documents)), "doc_index").select("query_id", "rank", "doc_index", "score", *SHOWN, *keep)
 
 
 @dataclass
 class LexicalIndex:
+    """``tokens(doc_index, t)`` is set on an index that isn't saved: then what a query needs is made in one pass over the texts."""
+
     documents: DataFrame
     postings: DataFrame
     terms: DataFrame
     figures: DataFrame
+    tokens: DataFrame | None = None
 
     @classmethod
     def build(cls, documents: DataFrame, title_weight: int = 3) -> LexicalIndex:
-        tf = term_frequencies(documents, index_text(title_weight))
-        lengths = doc_lengths(documents, tf)
-        return cls(documents, tf.join(lengths, "doc_index"), document_frequencies(tf), corpus_figures(lengths))
+        tokens = documents.select("doc_index", X.plain_tokens(index_text(title_weight)).alias("t"))
+        lengths = tokens.select("doc_index", F.size("t").cast("long").alias("doc_len"))
+        postings = tokens.select("doc_index", F.size("t").cast("long").alias("doc_len"), F.explode("t").alias("term")).groupBy("doc_index", "doc_len", "term").agg(F.count("*").alias("tf")).select("doc_index", "term", "tf", "doc_len")
+        return cls(documents, postings, document_frequencies(postings), corpus_figures(lengths), tokens)
 
     def save(self, path: str) -> None:
         write_table(self.documents, f"{path}/documents")
@@ -107,10 +124,24 @@ class LexicalIndex:
     def cache(self) -> LexicalIndex:
         return LexicalIndex(self.documents, self.postings.cache(), self.terms.cache(), self.figures.cache())
 
+    def _narrowed(self, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Postings, document frequencies and figures that the terms need.
+
+        Of an index that isn't saved, all three come from one row a document: its length and the listed terms in it.
+        """
+        listed = [r["term"] for r in terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()] if self.tokens is not None else []
+        if self.tokens is None or len(listed) > LISTED_TERMS:
+            return self.postings, self.terms, self.figures
+        found = F.filter("t", lambda x: x.isin(listed)) if listed else F.array().cast("array<string>")
+        each = self.tokens.select("doc_index", F.size("t").cast("long").alias("doc_len"), found.alias("t")).repartition("doc_index")
+        postings = each.select("doc_index", "doc_len", F.explode("t").alias("term")).groupBy("doc_index", "doc_len", "term").agg(F.count("*").alias("tf"))
+        return postings, document_frequencies(postings), corpus_figures(each)
+
     def _matches(self, terms: DataFrame) -> DataFrame:
         """Postings of the query terms with document frequencies and corpus figures."""
-        figures = self.figures.select(F.col("n").alias("n_docs"), "avgdl")
-        return self.postings.join(terms.withColumnRenamed("n", "n_terms"), "term").join(self.terms, "term").crossJoin(F.broadcast(figures))  # one row
+        postings, df, figures = self._narrowed(terms)
+        figures = figures.select(F.col("n").alias("n_docs"), "avgdl")
+        return postings.join(terms.withColumnRenamed("n", "n_terms"), "term").join(df, "term").crossJoin(F.broadcast(figures))  # one row
 
 
 @dataclass
@@ -165,9 +196,10 @@ class TfIdf:
         n = self.index.figures.select(F.col("n").alias("n_docs"))
         return self.index.terms.where(F.col("df") >= self.min_df).crossJoin(F.broadcast(n)).select("term", V.smooth_idf(F.col("n_docs"), F.col("df")).alias("idf"))
 
-    def vectors(self) -> DataFrame:
-        """``(doc_index, term, weight)``, each document of length one."""
-        held = self.index.postings.join(self.idf(), "term")
+    def vectors(self, among: DataFrame | None = None) -> DataFrame:
+        """``(doc_index, term, weight)``, each document of length one; of the documents ``among(doc_index)`` only, if given."""
+        postings = self.index.postings if among is None else self.index.postings.join(among, "doc_index", "left_semi")
+        held = postings.join(self.idf(), "term")
         by_doc = Window.partitionBy("doc_index")
         raw = held.withColumn("raw", F.col("tf") / F.max("tf").over(by_doc) * F.col("idf"))
         return raw.withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(by_doc))).select("doc_index", "term", (F.col("raw") / F.col("norm")).alias("weight"))
@@ -190,11 +222,17 @@ class TfIdf:
         """By the presence index first: candidates are the documents that have any of the terms."""
         wanted = queries.select("query_id", F.explode(F.array_distinct(X.tokens("query"))).alias("term"))
         candidates = self.index.postings.join(wanted, "term").select("query_id", "doc_index").distinct()
-        return ranked(self.scores(queries).join(candidates, ["query_id", "doc_index"], "left_semi"), top_k, "doc_index")
+        scores = self.scores(queries, self.vectors(candidates.select("doc_index").distinct()))
+        return ranked(scores.join(candidates, ["query_id", "doc_index"], "left_semi"), top_k, "doc_index")
 
     def search(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         return materialise(self.hits(queries, top_k), self.index.documents)
 
+    def save(self, path: str) -> None:
+        """The vectors and idf, by term, so that a search reads few row groups."""
+        write_table(self.vectors(), f"{path}/tfidf_vectors", cluster=("term", "doc_index"))
+        write_table(self.idf(), f"{path}/tfidf_idf", cluster=("term",))
+
 
 def lexical_engine(kind: str, index: LexicalIndex) -> Bm25 | TfIdf:
     engines = {"bm25": Bm25, "tfidf": TfIdf}

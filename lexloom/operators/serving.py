@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,15 @@ def search_mode(mode: str = "") -> str:
         raise BadRequest(f"no search mode {mode!r}") from None
 
 
+# Names of fields in the explanation of a search.
+RAW_FIELDS = ("title", "content", "raw_text")
+FOLDED_FIELDS = ("chunk_processed", "chunk_unaccented", "combined_unaccented")
+
+
+class NotReady(RuntimeError):
+    """A search needs vectors, and there are none."""
+
+
 def resolve_mode(mode: str, semantic_ready: bool, settings: Settings) -> str:
     """Hybrid falls back to keyword where vectors are missing and aren't required."""
     found = search_mode(mode)
@@ -98,18 +107,31 @@ def facets(results: DataFrame, order: str = "rank", most: int = FACET_SIZE) -> D
     return counts.withColumn("place", place).where(F.col("place") <= most).select("facet", "value", "count", "place")
 
 
+def _browsed(documents: DataFrame, category: str = "", author: str = "", source: str = "") -> DataFrame:
+    held = filter_results(documents.withColumn("query_id", F.lit(0)), category=category, author=author, source=source)
+    return one_per_document(held, "doc_index", F.coalesce(F.nullif(F.col("doc_id"), F.lit("")), F.col("id")))
+
+
 def browse(documents: DataFrame, *, category: str = "", author: str = "", source: str = "", offset: int = 0, page_size: int = 10) -> DataFrame:
     """Documents without a query, filtered, one a document, a page of them in the order of the corpus."""
-    held = filter_results(documents.withColumn("query_id", F.lit(0)), category=category, author=author, source=source)
-    first = one_per_document(held, "doc_index", F.coalesce(F.nullif(F.col("doc_id"), F.lit("")), F.col("id")))
-    taken = first.orderBy("doc_index").limit(offset + page_size)
+    taken = _browsed(documents, category, author, source).orderBy("doc_index").limit(offset + page_size)
     return page(renumber(taken, "doc_index"), offset, page_size)
 
 
+def browse_total(documents: DataFrame, *, category: str = "", author: str = "", source: str = "") -> DataFrame:
+    """How many documents the filters leave, of which browsing shows a page."""
+    return _browsed(documents, category, author, source).agg(F.count("*").alias("total"))
+
+
+def document_payload(documents: DataFrame) -> DataFrame:
+    """Documents as browsing sends them: score 0, the title as it is, the beginning of the text."""
+    return payload(documents.withColumn("score", F.lit(0.0)).withColumn("snippet", F.substring("content", 1, 300)))
+
+
 def suggest(documents: DataFrame, query: Column | str, most: int = SUGGESTIONS) -> DataFrame:
     """Different titles that hold the folded query, in the order of the corpus."""
     wanted = X.normalize_text(F.lit(query) if isinstance(query, str) else query)
-    titles = documents.select("doc_index", F.trim("title").alias("text")).where((wanted != "") & F.contains(X.normalize_text("text"), wanted))
+    titles = documents.select("doc_index", F.trim("title").alias("text")).where((wanted != "") & F.contains(F.array_join(X.plain_tokens("text"), " "), wanted))
     return titles.groupBy("text").agg(F.min("doc_index").alias("doc_index")).orderBy("doc_index").limit(most).select("text", F.lit("title").alias("type"), F.lit(1.0).alias("weight"), "doc_index")
 
 
@@ -133,33 +155,77 @@ def keyword_highlight(tokens: Column | str) -> Column:
     return F.when(changed["title"] | changed["summary"], fields)
 
 
-def explain_payload(query: str, mode: str, reranked: bool, **filters: str) -> dict:
-    return {"query": query, "mode": mode, "rerank": reranked, "filters": {k: v for k, v in filters.items() if v}}
+def explain_payload(query: str, mode: str, reranked: bool, sort: str = "relevance", settings: Settings | None = None, **filters: str) -> dict:
+    """How a search was done; the folded query is a column, as folding is the engine's."""
+    named = {k: filters.get(k) or None for k in ("category", "author", "source", "from_date", "to_date")}
+    return {"query": query, "folded_query": X.normalize_text(F.lit(query)), "mode": mode, "rerank": reranked, "reranker_model": (settings or Settings()).reranker_model if reranked else None,
+            "raw_fields": list(RAW_FIELDS), "folded_fields": list(FOLDED_FIELDS), "filters": named, "sort": sort}
 
 
 @dataclass
 class Page:
-    """A page of results, the number of results after filters and deduplication, and facets of the raw candidates."""
+    """A page of results, the number of results after filters and deduplication, and facets of the raw candidates.
+
+    ``loading`` says that vectors or their encoder aren't there yet, so there are no results but will be."""
 
     results: DataFrame
     total: DataFrame
     facets: DataFrame
-    explain: dict
+    explain: dict | None
+    mode: str = "keyword"
+    loading: bool = False
+
+
+@dataclass
+class Engines:
+    """What a search can use; ``semantic`` and ``hybrid`` are None where there are no vectors."""
+
+    keyword: object
+    semantic: object | None = None
+    hybrid: object | None = None
+    settings: Settings = field(default_factory=Settings)
+
+    def status(self) -> dict:
+        return {"keyword": True, "semantic": self.semantic is not None, "semantic_ready": self.semantic is not None and getattr(self.semantic, "ready", True), "hybrid": self.hybrid is not None}
+
+    def of(self, mode: str) -> tuple[str, object]:
+        """The mode that is used and its engine; hybrid gives way to keyword only where the settings allow it."""
+        found = resolve_mode(mode, self.semantic is not None, self.settings)
+        engine = getattr(self, found)
+        if engine is None:
+            raise NotReady(f"no vectors for a {found} search")
+        return found, engine
+
+
+def warm_up(engines: Engines, queries: DataFrame) -> dict:
+    """Runs each engine once, so that its tables are read and its encoder is made; returns the status."""
+    for engine in (engines.keyword, engines.semantic, engines.hybrid):
+        if engine is not None:
+            engine.search(queries, 1).write.format("noop").mode("overwrite").save()
+    return engines.status()
 
 
 def search_page(engine, documents: DataFrame, queries: DataFrame, query: str, *, mode: str = "", number: int = 1, page_size: int = 10, sort: str = "relevance", rerank_score: Column | None = None, settings: Settings | None = None, global_newest: bool = False, **filters: str) -> Page:
-    """Candidates, filters, one a document, rerank or cut, sort, page.
+    """Candidates, filters, one a document, rerank or cut, sort, page; without a query, documents in their order.
 
-    Sorting by date reorders what the cut left, unless ``global_newest``.
+    ``engine`` is a keyword engine or ``Engines``.  Sorting by date reorders what the cut left, unless ``global_newest``.
     """
     from lexloom.operators.fusion import rerank as reranked
 
-    settings = settings or Settings()
+    engines = engine if isinstance(engine, Engines) else Engines(engine, settings=settings or Settings())
+    settings = settings or engines.settings
     offset, page_size = page_bounds(number, page_size)
-    if not query.strip():
-        taken = browse(documents, offset=offset, page_size=page_size, **{k: v for k, v in filters.items() if k in ("category", "author", "source")})
-        return Page(taken, documents.agg(F.count_distinct("doc_id").alias("total")), facets(documents, "doc_index"), explain_payload(query, search_mode(mode), False, **filters))
-    raw = engine.search(queries, candidate_count(offset, page_size, rerank_score is not None, settings.reranker_top_k))
+    plain = {k: v for k, v in filters.items() if k in ("category", "author", "source")}
+    query = query.strip()
+    explained = lambda done: explain_payload(query, search_mode(mode), done, sort, settings, **filters)
+    if not query:
+        taken = browse(documents, offset=offset, page_size=page_size, **plain)
+        return Page(document_payload(taken), browse_total(documents, **plain), facets(documents, "doc_index"), explained(False), search_mode(mode))
+    used, chosen = engines.of(mode)
+    if used != "keyword" and not getattr(engines.semantic, "ready", True):
+        nothing = documents.limit(0)
+        return Page(document_payload(nothing.withColumn("rank", F.lit(0))), nothing.agg(F.count("*").alias("total")), facets(nothing, "doc_index"), None, used, True)
+    raw = chosen.search(queries, candidate_count(offset, page_size, rerank_score is not None, settings.reranker_top_k))
     left = renumber(one_per_document(filter_results(raw, **filters)), "rank")
     top_k = offset + page_size
     if rerank_score is not None:
@@ -167,5 +233,6 @@ def search_page(engine, documents: DataFrame, queries: DataFrame, query: str, *,
     else:
         left_cut = left if global_newest and sort == "newest" else cut(left, top_k)
     if sort == "newest":
-        left_cut = newest_first(left_cut, date_text("crawled_at", "crawled_text") if "crawled_at" in left_cut.columns else F.lit(""))
-    return Page(payload(page(left_cut, offset, page_size)), left.agg(F.count("*").alias("total")), facets(raw), explain_payload(query, search_mode(mode), rerank_score is not None, **filters))
+        left_cut = newest_first(left_cut, date_text("crawled_at", "crawled_text"))
+    marked = keyword_highlight(X.tokens(F.lit(query))) if used in ("keyword", "hybrid") else None
+    return Page(payload(page(left_cut, offset, page_size), marked), left.agg(F.count("*").alias("total")), facets(raw), explained(rerank_score is not None), used)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexloom.functions.text import BOILERPLATE_PATTERNS, MOJIBAKE_MARKERS, NO_SOURCE, NO_TOPIC
-from lexloom.plans.registry import STOPWORDS, TERMS
+from lexloom.plans.registry import BROKEN, DATES, STOPWORDS, TERMS
 
 _DOLLAR = "$$"
 
@@ -85,7 +85,7 @@ SELECT query_id, rank, doc_id, score FROM (
 
 def knn(ids: str, k: int, where: str = "true", columns: str = "") -> str:
     return f"""WITH c AS (
-  SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id IN ({ids})
+  SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE {ids}
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM c)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score{columns} FROM r WHERE place <= {max(5 * k, 50)} AND {where}
 QUALIFY rank <= {k}"""
@@ -122,6 +122,24 @@ _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), 'http[^\s\x{0085}\p{Z}]+', ' ', 'g'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', ' ', 'g')"
 _PUNCTUATION = r"""[!"#$%&'()*+,./:;<=>?@\[\\\]^`{|}~]"""
 
+_MARKED = f"regexp_replace(snippet, {_q(chr(92) + 'b(' + '|'.join(sorted(TERMS[1].split(), key=len, reverse=True)) + ')' + chr(92) + 'b')}, {_q('<em>' + chr(92) + '1</em>')}, 'gi')"
+_PUBLISHED = "coalesce(strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), '') AS published_at"
+_IN_RANGE = f"SELECT row_number() OVER (ORDER BY h.rank)::INTEGER AS rank, doc_id::VARCHAR AS id, score, {_PUBLISHED} FROM hits h JOIN dated USING (doc_id) WHERE h.rank <= 200 AND (day = '' OR (day >= '{DATES[0]}' AND day <= '{DATES[1]}'))"
+
+
+def _dates(x: str) -> str:
+    """Marks of dates: day, month and year first, then day and month; single digits are padded."""
+    pad = {1: "0", 2: ""}
+    for d in (2, 1):
+        for m in (2, 1):
+            for y, century in ((4, ""), (3, ""), (2, "20")):
+                x = rf"regexp_replace({x}, '\b(\d{{{d}}})[-/.](\d{{{m}}})[-/.](\d{{{y}}})\b', ' DATE{century}\3{pad[m]}\2{pad[d]}\1 ', 'g')"
+    for d in (2, 1):
+        for m in (2, 1):
+            x = rf"regexp_replace({x}, '\b(\d{{{d}}})[-/.](\d{{{m}}})\b', ' DATE{pad[m]}\2{pad[d]}\1 ', 'g')"
+    return x
+
+
 ORACLE = {
     "bm25_search": bm25("SELECT query_id, rank, doc_id, score, title, snippet FROM hits JOIN docs USING (doc_id) WHERE rank <= 10", TERMS[0]),
     "scan_project_documents": f"WITH {DOCS} SELECT doc_id, title, content[1:300] AS summary, topic AS category, source FROM docs",
@@ -147,11 +165,11 @@ ORACLE = {
     "document_lengths": f"WITH {INDEX} SELECT doc_id, doc_len FROM lengths",
     "corpus_figures": f"WITH {INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM figures",
     "inverted_index": f"""WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest({tokens('content')}) AS term FROM docs)
-SELECT term, count(*)::BIGINT AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids FROM p GROUP BY term""",
+SELECT term, (doc_id // 65536)::BIGINT AS block, count(*)::BIGINT AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids FROM p GROUP BY ALL""",
     "vocabulary_index": f"WITH {INDEX} SELECT term, df, (row_number() OVER (ORDER BY term) - 1)::BIGINT AS term_index FROM terms WHERE df >= 5",
     "bm25_batch": bm25("SELECT query_id, rank, doc_id, score FROM hits WHERE rank <= 10", *TERMS),
     "bm25_min_match": bm25("SELECT query_id, count(*)::BIGINT AS n_docs, max(matched)::BIGINT AS most_matched FROM enough GROUP BY 1", *TERMS),
-    "bm25_benchmark": bm25("SELECT query_id, rank, doc_id, score FROM hits WHERE rank <= 5", query=f"q AS (SELECT item_id AS query_id, array_to_string(({words('text')})[1:8], ' ') AS query FROM benchmark)"),
+    "bm25_benchmark": bm25("SELECT query_id, rank, doc_id, score FROM hits WHERE rank <= 5", query="q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"),
     "bm25_okapi": f"""WITH {asked(*TERMS[:4])}, tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({words('lower(text)')}) AS term FROM documents) GROUP BY ALL),
 lengths AS (SELECT d.doc_id, coalesce(sum(tf), 0)::BIGINT AS doc_len FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY 1), figures AS (SELECT count(*) AS n, avg(doc_len) AS avgdl FROM lengths),
 idf AS (SELECT term, ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, figures GROUP BY term, n), fl AS (SELECT avg(idf) * 0.25::DOUBLE AS floor FROM idf),
@@ -162,9 +180,11 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
     "tfidf_vectors": f"WITH {INDEX}, {TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM dv",
     "tfidf_search": f"WITH {INDEX}, {asked(*TERMS)}, {TFIDF_QUERY}",
     "tfidf_prefilter": f"WITH {INDEX}, {asked(*TERMS[:2])}, {TFIDF_QUERY}",
-    "vector_flat": knn("0", 10),
-    "vector_min_score_label": knn("1", 10, "score >= 0.1 AND label = 0", ", label"),
-    "vector_batch_knn": knn(", ".join(map(str, range(20))), 5),
+    "vector_flat": knn("q.vec_id = 0", 10),
+    "vector_min_score_label": knn("q.vec_id = 1", 10, "score >= 0.1 AND label = 0", ", label"),
+    "vector_batch_knn": knn("q.vec_id % 50 = 0", 5),
+    "vector_ivf_all_cells": knn("q.vec_id % 50 = 0", 10),
+    "semantic_results": f"WITH {DOCS} SELECT query_id, rank, docs.doc_id::VARCHAR AS doc_id, score, {shorten('title', 120)} AS title, snippet, topic FROM ({knn('q.vec_id % 50 = 0', 3)}) k JOIN docs ON docs.doc_id = k.vec_id",
     "embedding_shards": "SELECT (i // 112)::BIGINT AS shard, count(*)::BIGINT AS n, min(i)::BIGINT AS first, max(i)::BIGINT AS last FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings) GROUP BY 1",
     "hybrid_rrf": bm25("SELECT rank, key, score, keyword_score, semantic_score, keyword_rank, semantic_rank, concat_ws(',', CASE WHEN keyword_rank IS NOT NULL THEN 'keyword' END, CASE WHEN semantic_rank IS NOT NULL THEN 'semantic' END) AS modes FROM g WHERE rank <= 20", TERMS[1], more=LISTS),
     "hybrid_outer_merge": bm25("SELECT rank, key, score, keyword_score, semantic_score FROM g WHERE rank <= 20", TERMS[1], more=LISTS),
@@ -174,7 +194,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
   SELECT doc_id, h.rank AS place, score AS retrieval_score, round(len(list_intersect((SELECT list(term) FROM qp), {tokens("concat_ws(chr(10), nullif(title, ''), 'Chuyen muc: ' || nullif(topic, ''), nullif(snippet, ''))[1:1200]")}))::DOUBLE / (SELECT count(*) FROM qp), 6) AS rerank_score
   FROM hits h JOIN docs USING (doc_id) WHERE h.rank <= 50) QUALIFY rank <= 10""", TERMS[1]),
     "filter_facet_values": bm25("SELECT rank, doc_id, score FROM dh WHERE topic = 'en' AND source = 'src3'", TERMS[1], more=_DATED_HITS),
-    "filter_date_range": f"WITH {DOCS}, {DATED} SELECT doc_id, day FROM dated WHERE day = '' OR (day >= '2024-01-10' AND day <= '2024-03-31')",
+    "filter_date_range": f"WITH {DOCS}, {DATED} SELECT doc_id, day FROM dated WHERE day = '' OR (day >= '{DATES[0]}' AND day <= '{DATES[1]}')",
     "dedupe_by_document": f"WITH {CHUNKS} SELECT doc_id, chunk_id FROM chunks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(raw_text) DESC, chunk_id) = 1",
     "best_chunk_per_document": f"WITH {CHUNKS} SELECT doc_id, length(raw_text)::DOUBLE AS score, chunk_id, topic FROM chunks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(raw_text) DESC, chunk_id) = 1",
     "newest_prefix_sort": bm25("SELECT row_number() OVER (ORDER BY day DESC, rank)::INTEGER AS rank, doc_id, day FROM dh WHERE rank <= 20", TERMS[1], more=_DATED_HITS),
@@ -185,8 +205,18 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
     "suggest": f"""WITH {DOCS} SELECT text, 'title' AS type, 1.0::DOUBLE AS weight, min(doc_id) AS doc_id FROM (SELECT doc_id, trim(title) AS text FROM docs)
 WHERE contains(array_to_string({tokens('text')}, ' '), 'the tion') GROUP BY text ORDER BY doc_id LIMIT 8""",
     "search_payload": bm25(
-        """SELECT rank, id, score, category, source, published_at FROM (
-  SELECT row_number() OVER (ORDER BY h.rank)::INTEGER AS rank, doc_id::VARCHAR AS id, score, topic AS category, source, '' AS published_at FROM hits h JOIN docs USING (doc_id) WHERE h.rank <= 200 AND topic = 'en') WHERE rank > 10 AND rank <= 20""", TERMS[1]),
+        f"""SELECT rank, id, score, category, source, published_at, {_MARKED} AS marked FROM (
+  SELECT row_number() OVER (ORDER BY h.rank)::INTEGER AS rank, doc_id::VARCHAR AS id, score, topic AS category, source, snippet, {_PUBLISHED} FROM hits h JOIN dated USING (doc_id) WHERE h.rank <= 200 AND topic = 'en') WHERE rank > 10 AND rank <= 20""", TERMS[1], more=DATED),
+    "search_payload_dates": bm25(f"SELECT rank, id, score, published_at FROM ({_IN_RANGE}) WHERE rank <= 10", TERMS[1], more=DATED),
+    "search_total_dates": bm25(f"SELECT count(*)::BIGINT AS total FROM ({_IN_RANGE})", TERMS[1], more=DATED),
+    "search_newest": bm25(
+        f"""SELECT row_number() OVER (ORDER BY day DESC, rank)::INTEGER AS rank, id, score, published_at FROM (
+  SELECT h.rank, doc_id::VARCHAR AS id, score, day, {_PUBLISHED} FROM hits h JOIN dated USING (doc_id) WHERE h.rank <= 20)""", TERMS[1], more=DATED),
+    "search_hybrid": bm25("SELECT rank, key AS id, score, topic AS category FROM g JOIN docs ON docs.doc_id = g.key::BIGINT WHERE rank <= 20", TERMS[1], more=LISTS.replace("rank <= 50", "rank <= 1000").replace("FROM embeddings v, embeddings q", "FROM embeddings v JOIN docs ON docs.doc_id = v.vec_id, embeddings q")),
+    "browse_total": "SELECT count(*)::BIGINT AS total FROM documents WHERE lang = 'en'",
+    "highlight": bm25(f"SELECT h.rank, doc_id, {_MARKED} AS summary FROM hits h JOIN docs USING (doc_id) WHERE h.rank <= 10", TERMS[1]),
+    "mojibake_repair": "SELECT doc_id, md5(text) AS repaired FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-k}::BIGINT, md5({_q(x)}))" for k, (_, x) in enumerate(BROKEN, 1)) + ")",
+    "date_marks": f"SELECT doc_id, len(regexp_extract_all({_dates('text')}, 'DATE[0-9]+'))::BIGINT AS marks FROM documents",
     "eda_nulls": "\nUNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL)::BIGINT AS nulls, {f'count(*) FILTER (WHERE trim({c}) = {_q(str())})' if c in ('text', 'lang', 'source') else '0'}::BIGINT AS blanks FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")),
     "eda_value_counts": "SELECT source AS value, count(*)::BIGINT AS n FROM documents GROUP BY 1 ORDER BY n DESC, value LIMIT 12",

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as X
 from lexloom.functions import values as V
 from lexloom.functions.repair import fix_mojibake, highlighted
-from lexloom.operators import chunking, fusion, lexical, profile, serving, vectors
+from lexloom.operators import chunking, fusion, lexical, profile, semantic, serving, vectors
 from lexloom.sources.articles import documents_table, with_index
 from lexloom.streaming.clicks import click_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TERMS = ("that with estion", "the tion of and ing", "und der einer heit", "que en la de", "estion", "to of a b")
+#: A range of days that some of the events lie in.
+DATES = ("2024-01-02", "2024-01-02")
 STOPWORDS = ("the", "of", "and", "to", "a", "in", "der", "die", "und", "de", "la", "que", "et", "le")
 
 
@@ -45,7 +47,7 @@ def dated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the time of the event of the same number, in milliseconds, and a label as author."""
     times = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_index"), F.unix_millis(F.col("ts").cast("timestamp")).cast("double").alias("crawled_at"))
     authors = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc_index"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("label"))
-    docs = documents_table(spark, sf_dir).join(times, "doc_index", "left").join(authors, "doc_index", "left")
+    docs = documents_table(spark, sf_dir).drop("crawled_at", "crawled_text").join(times, "doc_index", "left").join(authors, "doc_index", "left")
     return docs.withColumn("author", X.as_text("label")).withColumn("crawled_text", F.lit(None).cast("string")).drop("label")
 
 
@@ -53,6 +55,10 @@ def bm25_list(spark: SparkSession, sf_dir: str, k: int = 200, text: str = TERMS[
     return lexical.Bm25(index(spark, sf_dir)).hits(batch(spark, text), k)
 
 
+def dated_engine(spark: SparkSession, sf_dir: str) -> lexical.Bm25:
+    return lexical.Bm25(lexical.LexicalIndex.build(dated_documents(spark, sf_dir)))
+
+
 def dated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = bm25_list(spark, sf_dir).select("query_id", "rank", "doc_index", "score")
     return hits.join(dated_documents(spark, sf_dir), "doc_index")
@@ -119,12 +125,16 @@ def mojibake_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.mojibake_score("text").cast("long").alias("marks"))
 
 
+#: Broken texts and what they are repaired to.
+BROKEN = (("CÃ´ng an HuÃª", "Công an Huê"), ("cÆ°á»›p tiá»‡m", "cướp tiệm"), ("Ärzte über Äpfel", "Ärzte über Äpfel"), ("Huáº¿ â€“ tin", "Huế – tin"), ("plain", "plain"), ("", ""))
+
+
 @query
 def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repaired texts; those without a mark don't go through Python."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", X.mojibake_score("text").alias("marks"))
-    clean = docs.where("marks = 0 or marks is null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("repaired"))
-    return clean.unionAll(docs.where("marks > 0").select("doc_id", F.md5(fix_mojibake("text").cast("binary")).alias("repaired")))
+    """Repaired texts of all documents and of broken samples, whose ids are negative; those without a mark don't go through Python."""
+    samples = spark.createDataFrame([(-k, text) for k, (text, _) in enumerate(BROKEN, 1)], "doc_id long, text string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionAll(samples)
+    return docs.select("doc_id", F.md5(fix_mojibake("text").cast("binary")).alias("repaired"))
 
 
 @query
@@ -210,7 +220,7 @@ def corpus_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_table(spark, sf_dir)
     ids = lexical.presence_index(lexical.term_frequencies(docs, F.col("content")))
-    return ids.select("term", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").cast("binary")).alias("ids"))
+    return ids.select("term", "block", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").cast("binary")).alias("ids"))
 
 
 @query
@@ -282,10 +292,26 @@ def vector_batch_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vector_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate: 12 of 16 cells."""
     cells = vectors.Ivf.train(vector_table(spark, sf_dir), cells=16)
     return cells.search(query_set(spark, sf_dir), 10, probes=12).select("query_id", "rank", F.col("embedding_index").alias("vec_id"), "score")
 
 
+@query
+def vector_ivf_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all cells probed the search is exact."""
+    cells = vectors.Ivf.train(vector_table(spark, sf_dir), cells=16)
+    return cells.search(query_set(spark, sf_dir), 10, probes=16).select("query_id", "rank", F.col("embedding_index").alias("vec_id"), "score")
+
+
+@query
+def semantic_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector hits with the documents of the same number as their rows."""
+    found = vectors.Flat(vector_table(spark, sf_dir).select("embedding_index", "embedding")).candidates(query_set(spark, sf_dir), 3)
+    rows = semantic.metadata(documents_table(spark, sf_dir)).withColumnRenamed("doc_index", "embedding_index")
+    return semantic.results(found, rows).select("query_id", "rank", "doc_id", "score", "title", "snippet", "topic")
+
+
 @query
 def embedding_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = vectors.assign_shards(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", shard_rows=100)
@@ -332,7 +358,7 @@ def filter_facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def filter_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = dated_documents(spark, sf_dir)
-    return serving.filter_results(held, from_date="2024-01-10", to_date="2024-03-31").select(F.col("doc_index").alias("doc_id"), V.date_text("crawled_at").alias("day"))
+    return serving.filter_results(held, from_date=DATES[0], to_date=DATES[1]).select(F.col("doc_index").alias("doc_id"), V.date_text("crawled_at").alias("day"))
 
 
 @query
@@ -387,8 +413,45 @@ def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def search_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = serving.search_page(lexical.Bm25(index(spark, sf_dir)), documents_table(spark, sf_dir), batch(spark, TERMS[1]), TERMS[1], number=2, category="en")
-    return found.results.select("rank", "id", "score", "category", "source", "published_at")
+    found = serving.search_page(dated_engine(spark, sf_dir), dated_documents(spark, sf_dir), batch(spark, TERMS[1]), TERMS[1], number=2, category="en")
+    return found.results.select("rank", "id", "score", "category", "source", "published_at", F.col("highlight.summary")[0].alias("marked"))
+
+
+@query
+def search_payload_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the results of a range of days."""
+    found = serving.search_page(dated_engine(spark, sf_dir), dated_documents(spark, sf_dir), batch(spark, TERMS[1]), TERMS[1], from_date=DATES[0], to_date=DATES[1])
+    return found.results.select("rank", "id", "score", "published_at")
+
+
+@query
+def search_total_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.search_page(dated_engine(spark, sf_dir), dated_documents(spark, sf_dir), batch(spark, TERMS[1]), TERMS[1], from_date=DATES[0], to_date=DATES[1]).total
+
+
+@query
+def search_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page by date of what the cut leaves."""
+    found = serving.search_page(dated_engine(spark, sf_dir), dated_documents(spark, sf_dir), batch(spark, TERMS[1]), TERMS[1], sort="newest", page_size=20)
+    return found.results.select("rank", "id", "score", "published_at")
+
+
+@query
+def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of keyword and vector results fused; a stand-in encoder makes the query vector 0 of any text."""
+    keyword = lexical.Bm25(index(spark, sf_dir))
+    rows = semantic.metadata(documents_table(spark, sf_dir)).withColumnRenamed("doc_index", "embedding_index")
+    flat = vectors.Flat(vector_table(spark, sf_dir).select("embedding_index", "embedding"))
+    first = [float(x) for x in query_vectors(spark, sf_dir, 0).first()["vector"]]
+    dense = semantic.SemanticEngine(flat, rows, lambda: lambda texts: [first for _ in texts])
+    engines = serving.Engines(keyword, dense, semantic.HybridEngine(keyword, dense))
+    found = serving.search_page(engines, documents_table(spark, sf_dir), batch(spark, TERMS[1]), TERMS[1], mode="hybrid", page_size=20)
+    return found.results.select("rank", "id", "score", "category")
+
+
+@query
+def browse_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.search_page(lexical.Bm25(index(spark, sf_dir)), documents_table(spark, sf_dir), batch(spark, ""), "", category="en").total
 
 
 # --- reports ----------------------------------------------------------------------------------------------------

@@ -6,12 +6,11 @@ title_processed, content_processed, combined_processed, combined_unaccented, doc
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.functions.text import as_text, chunk_title
+from lexloom.functions.text import as_text, chunk_title, repaired
 
 # The keys of a record that have a place of their own.
 FIELDS = (
@@ -36,62 +35,81 @@ def require(spark: SparkSession, *paths: str) -> None:
 
 
 def read_raw_json(spark: SparkSession, path: str, array: bool | None = None) -> DataFrame:
-    """``raw``: one JSON object a row.  ``array`` says whether the file is one JSON array; None looks at its beginning.
+    """``(raw, place)``: one JSON object a row, with its place in the input.  ``array`` says whether the file is one JSON array; None looks at its beginning.
 
-    Lines are split and read in parallel, with closing commas dropped and blank ones skipped.  An array is one value
-    for Spark's reader; convert a large one once.
+    Lines are split and read in parallel, with closing commas dropped and blank ones skipped; bytes that aren't UTF-8 are
+    replaced.  An array whose objects have lines of their own is read as such lines.  Any other array is one value for
+    Spark's reader; convert a large one once.
     """
+    source = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = source.select(F.make_valid_utf8("value").alias("value"), place.alias("place"))
     if array is None:
-        head = spark.read.text(path, wholetext=False).where(F.trim("value") != "").limit(1).collect()
-        array = bool(head) and head[0]["value"].lstrip("﻿ \t").startswith("[")
-    if array:
-        whole = spark.read.text(path, wholetext=True)
-        values = F.explode(F.from_json("value", "array<string>", {"mode": "FAILFAST"}))
-        return whole.select(values.alias("raw"))
-    lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), r"[,\s]+$", "").alias("raw"))
-    return lines.where("raw <> ''")
+        head = lines.where(F.trim("value") != "").limit(1).collect()
+        array = bool(head) and head[0]["value"].lstrip("\ufeff \t").startswith("[")
+    objects = lines.select(F.regexp_replace(F.trim("value"), r"[,\s]+$", "").alias("raw"), "place").where("raw <> ''")
+    if not array:
+        return objects
+    inner = objects.where(~F.col("raw").isin("[", "]", "\ufeff["))
+    if not inner.isEmpty() and inner.where(F.coalesce(F.left("raw", F.lit(1)) != "{", F.lit(True)) | F.json_object_keys("raw").isNull()).isEmpty():
+        return inner
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.posexplode(F.from_json("value", "array<string>", {"mode": "FAILFAST"})).alias("row", "raw")).select("raw", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.col("row").cast("long").alias("row")).alias("place"))
 
 
 def records_to_documents(raw: DataFrame, order: str | None = None) -> DataFrame:
-    """Rows of ``raw`` JSON to documents; the shape is told by whether the key ``chunk_id`` is there, null or not."""
+    """Rows of ``raw`` JSON to repaired documents, numbered by ``order``; the shape is told by whether the key ``chunk_id`` is there, null or not."""
     keys = F.json_object_keys("raw")
     get = lambda k: F.get_json_object("raw", f"$.{k}")
     parsed = raw.select("*", keys.alias("__keys"), F.from_json("raw", "map<string,string>").alias("__map"), *(get(k).alias(f"__{k}") for k in FIELDS))
     chunk = F.array_contains("__keys", "chunk_id")
     pick = lambda a, b: F.when(chunk, as_text(a)).otherwise(as_text(b))
+    mended = lambda a, b: repaired(pick(a, b))
     nothing = F.lit("")
     number = F.when(F.col("__map")["crawled_at"].rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$") & ~F.col("raw").rlike(r'"crawled_at"\s*:\s*"'), F.col("__crawled_at").cast("double"))
     extra = F.map_filter("__map", lambda k, v: ~k.isin(*FIELDS))
     ids = F.when(chunk, F.create_map(F.lit("doc_id"), as_text("__doc_id"), F.lit("chunk_id"), as_text("__chunk_id"))).otherwise(F.create_map().cast("map<string,string>"))
     out = parsed.select(
-        pick("__chunk_id", "__id").alias("id"), F.when(chunk, chunk_title("__raw_text")).otherwise(as_text("__title")).alias("title"), pick("__raw_text", "__content").alias("content"),
-        *(as_text(f"__{k}").alias(k) for k in ("url", "source", "topic", "author")),
+        pick("__chunk_id", "__id").alias("id"), repaired(F.when(chunk, chunk_title("__raw_text")).otherwise(as_text("__title"))).alias("title"), mended("__raw_text", "__content").alias("content"),
+        as_text("__url").alias("url"), *(repaired(as_text(f"__{k}")).alias(k) for k in ("source", "topic", "author")),
         number.alias("crawled_at"), F.when(number.isNull(), F.col("__crawled_at")).alias("crawled_text"),
-        F.when(chunk, nothing).otherwise(as_text("__title_processed")).alias("title_processed"), pick("__chunk_processed", "__content_processed").alias("content_processed"),
-        pick("__chunk_processed", "__combined_processed").alias("combined_processed"), pick("__chunk_unaccented", "__combined_unaccented").alias("combined_unaccented"),
+        F.when(chunk, nothing).otherwise(repaired(as_text("__title_processed"))).alias("title_processed"), mended("__chunk_processed", "__content_processed").alias("content_processed"),
+        mended("__chunk_processed", "__combined_processed").alias("combined_processed"), mended("__chunk_unaccented", "__combined_unaccented").alias("combined_unaccented"),
         F.when(chunk, as_text("__doc_id")).otherwise(as_text("__id")).alias("doc_id"), F.when(chunk, as_text("__chunk_id")).otherwise(nothing).alias("chunk_id"),
         F.map_concat(F.map_filter(extra, lambda k, v: ~F.array_contains(F.map_keys(ids), k)), ids).alias("metadata"), *([order] if order else []),
     )
     return with_index(out, order) if order else out
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """The same rows for every reader, in the shared folder, so that a lost executor takes none of them along."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        import tempfile
+
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lexloom-')}")
+    return df.checkpoint()
+
+
 def with_index(df: DataFrame, *order: str, name: str = "doc_index") -> DataFrame:
     """Dense numbers from 0 in the order of ``order``, whose values should differ: counts of ranges first, then places within each range.
 
-    Rows are range-partitioned, so no task sorts them all.  The ranges are drawn from a sample, so they are kept on disk
-    for both readers; a lost part is made anew with the same bounds.
+    Rows are range-partitioned, so no task sorts them all.  The ranges are drawn from a sample, so their rows are written
+    once for both readers.  The running sum is over one row a range.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
-    ranged = ranged.persist(StorageLevel.DISK_ONLY)
+    ranged = fixed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
     counts = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("first"))
     before = counts.select("__part", "first", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return ranged.join(before, "__part").withColumn(name, (F.col("before") + F.col("__row") - F.col("first")).cast("long")).drop("__part", "__row", "first", "before")
 
 
 def load_documents(spark: SparkSession, path: str, limit: int | None = None, array: bool | None = None) -> DataFrame:
-    """Documents of a JSON file; ``limit`` takes one at least, as the scan stops after a record."""
+    """Documents of a JSON file in its order; ``limit`` takes the first ones, one at least, as the scan stops after a record."""
     raw = read_raw_json(spark, path, array)
-    return records_to_documents(raw.limit(max(limit, 1)) if limit is not None else raw)
+    raw = raw.orderBy("place").limit(max(limit, 1)) if limit is not None else raw
+    return records_to_documents(raw, "place").drop("place")
 
 
 def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +120,12 @@ def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adapt_documents(docs: DataFrame) -> DataFrame:
     empty = F.lit("")
+    docs = docs.withColumn("content", repaired("text"))
     return docs.select(
-        F.col("doc_id").alias("doc_index"), F.col("doc_id").cast("string").alias("id"), chunk_title("text").alias("title"), as_text("text").alias("content"),
+        F.col("doc_id").alias("doc_index"), F.col("doc_id").cast("string").alias("id"), chunk_title("content").alias("title"), "content",
         empty.alias("url"), as_text("source").alias("source"), as_text("lang").alias("topic"), empty.alias("author"),
         *(empty.alias(k) for k in ("title_processed", "content_processed", "combined_processed", "combined_unaccented")),
-        F.col("doc_id").cast("string").alias("doc_id"), empty.alias("chunk_id"),
+        F.lit(None).cast("double").alias("crawled_at"), F.lit(None).cast("string").alias("crawled_text"), F.col("doc_id").cast("string").alias("doc_id"), empty.alias("chunk_id"),
     )
 
 
@@ -143,4 +162,4 @@ def stopwords(spark: SparkSession, path: str) -> DataFrame:
 
 RESULT = T.StructType([T.StructField(n, t) for n, t in (
     ("query_id", T.LongType()), ("rank", T.IntegerType()), ("doc_index", T.LongType()), ("score", T.DoubleType()), ("doc_id", T.StringType()), ("chunk_id", T.StringType()), ("title", T.StringType()),
-    ("snippet", T.StringType()), ("url", T.StringType()), ("source", T.StringType()), ("topic", T.StringType()), ("author", T.StringType()))])
+    ("snippet", T.StringType()), ("url", T.StringType()), ("source", T.StringType()), ("topic", T.StringType()), ("author", T.StringType()), ("crawled_at", T.DoubleType()), ("crawled_text", T.StringType()))])

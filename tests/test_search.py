@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.config import Settings
-from lexloom.operators import chunking, fusion, lexical, serving, vectors
+from lexloom.operators import chunking, fusion, lexical, semantic, serving, vectors
 from lexloom.plans.registry import QUERIES
 from lexloom.sources import articles as A
 from lexloom.streaming.clicks import CLICK, click_counts
@@ -23,7 +23,7 @@ CHUNKS = [{"doc_id": "22648", "chunk_id": f"22648_{k}", "url": "u", "topic": "Ph
 def news(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("news") / "news.json"
     path.write_text(json.dumps(NEWS, ensure_ascii=False))
-    return A.with_index(A.load_documents(spark, f"file://{path}"), "id").cache()
+    return A.load_documents(spark, f"file://{path}").cache()
 
 
 def ask(spark, *texts):
@@ -45,6 +45,14 @@ def test_json_shapes(spark, news, tmp_path):
     assert [c["id"] for c in chunks] == ["22648_4", "22648_5"]
     assert chunks[0]["metadata"] == {"doc_id": "22648", "chunk_id": "22648_4"} and chunks[0]["title"] == CHUNKS[0]["raw_text"]
     assert A.load_documents(spark, f"file://{lines}", limit=0).count() == 1
+    assert [r["id"] for r in A.load_documents(spark, f"file://{lines}", limit=1).collect()] == ["22648_4"]
+    pretty = tmp_path / "pretty.json"
+    pretty.write_text("[\n" + ",\n".join(json.dumps(x) for x in NEWS) + "\n]\n")
+    assert [(r["doc_index"], r["id"]) for r in A.load_documents(spark, f"file://{pretty}").orderBy("doc_index").collect()] == [(0, "1"), (1, "2"), (2, "3")]
+    nested = tmp_path / "nested.json"
+    nested.write_text(json.dumps([{"id": k, "title": "CÃ´ng an", "content": "Huáº¿", "m": {"a": [1]}} for k in range(5)], indent=1, ensure_ascii=False))
+    found = A.load_documents(spark, f"file://{nested}", limit=3).orderBy("doc_index").collect()
+    assert [r["id"] for r in found] == ["0", "1", "2"] and {(r["title"], r["content"]) for r in found} == {("Công an", "Huế")}
 
 
 def test_bm25(spark, news):
@@ -95,7 +103,7 @@ def test_ivf_recall(spark):
     cells = vectors.Ivf.train(held, cells=16)
     assert cells.search(asked, 10, probes=16).select("query_id", "embedding_index").exceptAll(exact).isEmpty()
     recall = {k: exact.intersect(cells.search(asked, 10, probes=k).select("query_id", "embedding_index")).count() / exact.count() for k in (10, 12)}
-    assert recall[12] >= 0.9
+    assert recall[12] >= 0.9  # what is registered
     if recall[10] < 0.9:
         pytest.xfail(f"recall with 10 of 16 cells is {recall[10]}, not 0.9")
 
@@ -152,6 +160,68 @@ def test_search_page(spark, news):
     assert marked["title"] == ["<em>Cướp</em> tiệm vàng tại Huế"]
 
 
+def test_search_by_date(spark, news):
+    engine = lexical.Bm25(lexical.LexicalIndex.build(news))
+    for text, ids in (("tiem vang", ["2"]), ("liverpool", [])):
+        page = serving.search_page(engine, news, ask(spark, text), text, from_date="2022-08-02", to_date="2022-08-02")
+        assert [r["id"] for r in page.results.collect()] == ids and page.total.first()["total"] == len(ids)
+    page = serving.search_page(engine, news, ask(spark, "cong an vang"), "cong an vang", sort="newest")
+    row = page.results.first()
+    assert row["published_at"] == "2022-08-02T00:00:00" and row["highlight"]["title"] == ["Cướp tiệm <em>vàng</em> tại Huế"]
+    assert page.explain["sort"] == "newest" and spark.range(1).select(page.explain["folded_query"].alias("q")).first()["q"] == "cong an vang"
+    browsed = serving.search_page(engine, news, ask(spark, ""), "", category="Pháp luật")
+    assert browsed.total.first()["total"] == 1 and browsed.results.first()["score"] == 0.0
+
+
+def test_semantic_and_hybrid(spark, news, tmp_path):
+    letters = lambda texts: [[float(t.lower().count(c)) + 0.01 for c in "abcdefgh"] for t in texts]
+    path = f"file://{tmp_path}/semantic"
+    config = semantic.build_semantic(news, path, lambda: letters, shard_rows=1, cells=2, probes=2)
+    assert (config["num_vectors"], config["embedding_dim"], config["index"]) == (2, 8, "cells")  # the blank article is left out
+    assert semantic.build_semantic(news, path, lambda: letters, cells=2, probes=2) == config
+    assert vectors.shard_totals(vectors.read_shards(spark, f"{path}/shards")).agg(F.sum("n")).first()[0] == 2
+    dense = semantic.SemanticEngine.load(spark, path, lambda: letters)
+    flat = semantic.SemanticEngine(vectors.Flat(vectors.read_shards(spark, f"{path}/shards").select("embedding_index", "embedding")), dense.rows, lambda: letters)
+    for engine in (dense, flat):
+        found = rows(engine.search(ask(spark, "dddd", " "), 1), "query_id", "doc_id", "title", "topic")
+        assert len(found) == 1 and found[0][0] == 1 and found[0][2] in {n["title"] for n in NEWS}
+    keyword = lexical.Bm25(lexical.LexicalIndex.build(news))
+    engines = serving.Engines(keyword, flat, semantic.HybridEngine(keyword, flat))
+    page = serving.search_page(engines, news, ask(spark, "tiem vang"), "tiem vang", mode="hybrid")
+    assert page.mode == "hybrid" and {r["id"] for r in page.results.collect()} == {"1", "2"} and page.total.first()["total"] == 2
+    both = {r["doc_id"]: r for r in engines.hybrid.search(ask(spark, "tiem vang"), 5).collect()}
+    assert both["2"]["matched_modes"] == ["keyword", "semantic"] and both["1"]["matched_modes"] == ["semantic"] and both["1"]["keyword_score"] is None
+    only = serving.Engines(keyword)
+    with pytest.raises(serving.NotReady):
+        serving.search_page(only, news, ask(spark, "vang"), "vang", mode="semantic")
+    loose = serving.Engines(keyword, settings=Settings(hybrid_require_semantic=False))
+    assert serving.search_page(loose, news, ask(spark, "vang"), "vang", mode="hybrid").mode == "keyword"
+    assert serving.warm_up(engines, ask(spark, "vang"))["semantic_ready"]
+
+    class Loading:
+        ready = False
+
+    waiting = serving.search_page(serving.Engines(keyword, Loading(), Loading()), news, ask(spark, "vang"), "vang", mode="semantic")
+    assert waiting.loading and waiting.total.first()["total"] == 0 and waiting.results.count() == 0 and waiting.explain is None
+
+
+def test_pooling_and_reranker(spark):
+    states = np.arange(12, dtype=float).reshape(2, 3, 2)
+    found = semantic.batched(lambda texts: (states[: len(texts)], np.array([[1, 1, 0], [0, 0, 0]])[: len(texts)]), 2)(["a", "b"])
+    assert np.allclose(found[0], np.array([1, 2]) / 5**0.5) and np.allclose(found[1], 0)
+    held = ranked(spark, ("1", 3.0), ("2", 1.0)).withColumn("title", F.col("key")).withColumn("topic", F.lit("")).withColumn("snippet", F.lit("s"))
+    score = semantic.reranker(lambda: lambda pairs: [float(read.split()[0]) for _, read in pairs], "q")
+    assert [k for (k,) in rows(fusion.rerank(held, score), "key")] == ["2", "1"]
+
+
+def test_shown_values(spark):
+    from lexloom.functions import text as X
+
+    row = spark.createDataFrame([("2024-05-06T00:00", " ", "b")], "d string, x string, y string")
+    found = row.select(X.display_date("d").alias("a"), X.display_date("x").alias("b"), X.coalesce_columns(row, "none", "x", "y").alias("c"), X.escape_html(F.lit("<b>&<em>x</em>\"'")).alias("d"), X.score_label(F.lit(0.5), F.lit(False), F.lit(None).cast("boolean")).alias("e")).first()
+    assert tuple(found) == ("6/5/2024", "Không rõ ngày", "b", "&lt;b&gt;&amp;<em>x</em>&quot;&#39;", "semantic")
+
+
 def test_chunk_counts(spark):
     texts = [(str(n), "T", " ".join(f"Sentence number {k} is a rather long one here." for k in range(n))) for n in range(3, 9)]
     docs = spark.createDataFrame(texts, "doc_id string, title string, content string")
