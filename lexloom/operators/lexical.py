@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
 from lexloom.functions import values as V
-from lexloom.sources.articles import require, write_table
+from lexloom.sources.articles import fixed, require, write_table
 
 DIGITS = 6
-#: Up to so many different terms are looked for while documents are tokenised; more are joined.
+#: Up to so many different terms or documents are looked for by a list; more are joined.
 LISTED_TERMS = 10_000
 #: Documents in a block of the presence index.
 PRESENCE_BLOCK = 1 << 16
@@ -89,6 +89,10 @@ def shown(documents: DataFrame) -> list[Column]:
 
 def materialise(hits: DataFrame, documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Hits with what is shown of their documents; only after the cut, so few documents are read whole."""
+    hits = fixed(hits)  # small, and read twice
+    found = [r["doc_index"] for r in hits.select("doc_index").distinct().limit(LISTED_TERMS + 1).collect()]
+    if len(found) <= LISTED_TERMS:  # the scan reads these documents only
+        documents = documents.where(F.col("doc_index").isin(found)) if found else documents.where("false")
     return hits.join(documents.select("doc_index", *shown(documents)), "doc_index").select("query_id", "rank", "doc_index", "score", *SHOWN, *keep)
 
 
@@ -133,7 +137,8 @@ class LexicalIndex:
         if self.tokens is None or len(listed) > LISTED_TERMS:
             return self.postings, self.terms, self.figures
         found = F.filter("t", lambda x: x.isin(listed)) if listed else F.array().cast("array<string>")
-        each = self.tokens.select("doc_index", F.size("t").cast("long").alias("doc_len"), found.alias("t")).repartition("doc_index")
+        each = self.tokens.select("doc_index", F.size("t").cast("long").alias("doc_len"), found.alias("t"))
+        each = fixed(each)  # texts are tokenised once for the three tables
         postings = each.select("doc_index", "doc_len", F.explode("t").alias("term")).groupBy("doc_index", "doc_len", "term").agg(F.count("*").alias("tf"))
         return postings, document_frequencies(postings), corpus_figures(each)
 
