@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 #: Arrow batches hold whole texts, so their bytes are bounded besides their rows, where the session has Spark's own default.
-BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
-SLICE_BYTES = 4 << 20
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "2m"
+SLICE_BYTES = 2 << 20
 SIEVE_BITS = 1 << 23
 _own: dict[str, str] = {}  # of local runs, by application
 
