@@ -2,10 +2,13 @@
 
 Documents are tokenised once; what the packing needs of them is how many pieces have which size, and that histogram
 has no more rows than a sequence has tokens.  It is packed on the driver: ``complete`` takes the largest size left,
-enumerates the undominated fillings of the space around it, and searches them depth first with branch and bound.  A
-branch is cut when its waste alone rules out fewer bins than the incumbent, which is a best-fit decreasing packing at
-first.  Fillings are used as often as the counts allow, so the work depends on the sizes, not on the number of
-documents.  Pieces then find their place by their rank among the pieces of their size.
+enumerates the undominated fillings of the space around it one after another, and searches them depth first with branch
+and bound.  A filling is dominated if a larger piece that is left could stand in for one or two of its pieces, or another
+piece fits beside them.  A branch is cut when its waste alone rules out fewer bins than the incumbent, which is a best-fit
+decreasing packing at first.  A filling is tried as often as the counts allow and then less often, so the work depends on
+the sizes, not on the number of documents.  Fillings and branches count against ``nodes``; whether the result is proven to
+be the least, by the bound or as the search came to its end, is told in the column ``proven``.  Pieces then find their
+place by their rank among the pieces of their size.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ class _Units(dict):
     stretches are tokenised apart.  Up to ``most`` of them are kept, those that come first and so the frequent ones.
     """
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 150_000):
         super().__init__()
         self.encode, self.most = encode, most
 
@@ -129,100 +132,86 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [x for group in spaces.values() for x in group]
 
 
-def fillings(counts: np.ndarray, space: int, branches: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``space`` with sizes that are left, the fullest first.
+class _Spent(Exception):
+    """The search has used up its nodes."""
 
-    One size that fits dominates any set of sizes that would fit in its place, so larger sizes come first, and a
-    filling to the last token leaves nothing better: exact fillings by one, two and three sizes, then the best fit
-    by the largest sizes in turn.
+
+def fillings(left: np.ndarray, space: int, waste: int, budget: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill ``space`` but for ``waste`` at most with sizes that are left, larger pieces first.
+
+    A piece that fills the rest to the last token is better than any set of pieces there, so nothing else is tried then.
     """
-    if space <= 0:
-        return [()]
-    here = counts[: space + 1] > 0
-    if here[space]:
-        return [(space,)]
-    out: list[tuple[int, ...]] = []
-    pair = np.flatnonzero(here & here[::-1])
-    for a in pair[::-1]:
-        b = space - int(a)
-        if a < b or len(out) >= branches:
-            break
-        if a != b or counts[a] > 1:
-            out.append((int(a), b))
-    sizes = np.flatnonzero(here)[::-1]
-    for a in sizes[:32]:
-        if len(out) >= branches:
-            break
-        rest = space - int(a)
-        pair = np.flatnonzero(here[: rest + 1] & here[: rest + 1][::-1])
-        for b in pair[::-1]:
-            c = rest - int(b)
-            if b < c:
-                break
-            if b <= a and all(counts[x] >= n for x, n in Counter((int(a), int(b), c)).items()):
-                out.append((int(a), int(b), c))
-                break
-    for a in sizes[: max(1, branches - len(out))]:
-        rest, own, left = space, [], {}
-        for b in sizes[np.searchsorted(-sizes, -a) :]:
-            while rest >= b and left.setdefault(int(b), int(counts[b])) > 0:
-                own.append(int(b))
-                left[int(b)] -= 1
-                rest -= int(b)
-            if not rest:
-                break
-        out.append(tuple(own))
-    return sorted(dict.fromkeys(out), key=lambda x: -sum(x))[:branches]
-
-
-def complete(counts: dict[int, int], capacity: int, *, branches: int = 4, nodes: int = 20_000) -> list[Pattern]:
-    """Patterns of sizes and how many bins each fills; bin completion within ``nodes`` steps of search."""
+
+    def dominated(chosen: tuple[int, ...], rest: int) -> bool:
+        if left[1 : rest + 1].any():
+            return True
+        sums = {*chosen, *(a + b for k, a in enumerate(chosen) for b in chosen[k + 1 :])} if rest else set()
+        return any(left[x + 1 : x + rest + 1].any() for x in sums)
+
+    def walk(top: int, rest: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        budget[0] -= 1
+        if budget[0] < 0:
+            raise _Spent
+        if 0 < rest <= top and left[rest]:
+            yield (*chosen, rest)
+            return
+        here = np.flatnonzero(left[: min(top, rest) + 1])[::-1].tolist()
+        if not here and rest <= waste and not dominated(chosen, rest):
+            yield chosen
+        for s in here:
+            left[s] -= 1
+            yield from walk(s, rest - s, (*chosen, s))
+            left[s] += 1
+
+    yield from walk(space, space, ())
+
+
+def complete(counts: dict[int, int], capacity: int, *, nodes: int = 20_000) -> tuple[list[Pattern], bool]:
+    """Patterns of sizes and how many bins each fills, by bin completion; and whether fewer bins are ruled out."""
     total = sum(s * n for s, n in counts.items())
     incumbent = best_fit(counts, capacity)
-    least = -(-total // capacity)
+    half = sum(n for s, n in counts.items() if 2 * s > capacity)  # no two of them share a bin
+    least = max(-(-total // capacity), half)
     most = sum(n for _, n in incumbent)
-    left = np.zeros(capacity + 1, np.int64)
-    for s, n in counts.items():
-        left[s] = n
-    path: list[tuple[Pattern, list[tuple[int, ...]]]] = []
-    waste = bins = 0
-
-    def options() -> list[tuple[int, ...]]:
-        big = int(np.flatnonzero(left)[-1])
-        left[big] -= 1
-        found = [(big, *x) for x in fillings(left, capacity - big, branches)]
-        left[big] += 1
-        return found[::-1]
-
-    todo = options() if total else []
-    while most > least and nodes:
-        nodes -= 1
-        if todo:
-            pattern = todo.pop()
+    budget = [nodes]
+
+    def search(left: dict[int, int], used: int, waste: int, path: list[Pattern]) -> None:
+        nonlocal incumbent, most
+        if not left:
+            if used < most:
+                incumbent, most = list(path), used
+            return
+        budget[0] -= 1
+        if budget[0] < 0:
+            raise _Spent
+        big = max(left)
+        room = (most - 1) * capacity - total - waste  # waste that a better packing may still have
+        if room < 0:
+            return
+        array = np.zeros(capacity + 1, np.int64)
+        for s, n in left.items():
+            array[s] = n
+        array[big] -= 1
+        for way in fillings(array, capacity - big, min(room, capacity), budget):  # on counts of its own
+            pattern = (big, *way)
             use = Counter(pattern)
-            times = int(min(left[s] // n for s, n in use.items()))
-            if waste + times * (capacity - sum(pattern)) <= (most - 1) * capacity - total:
-                for s, n in use.items():
-                    left[s] -= n * times
-                waste += times * (capacity - sum(pattern))
-                bins += times
-                path.append(((pattern, times), todo))
-                if left.any():
-                    todo = options()
+            lost = capacity - sum(pattern)
+            for times in range(min(left[s] // n for s, n in use.items()), 0, -1):
+                if most <= least:
+                    return
+                if waste + lost * times > (most - 1) * capacity - total:
                     continue
-                incumbent, most = [p for p, _ in path], bins
-            else:
-                continue
-        if not path:
-            break
-        if most <= least:
-            break
-        (pattern, times), todo = path.pop()  # back to the last choice
-        for s, n in Counter(pattern).items():
-            left[s] += n * times
-        waste -= times * (capacity - sum(pattern))
-        bins -= times
-    return incumbent
+                rest = {s: n - use.get(s, 0) * times for s, n in left.items() if n - use.get(s, 0) * times}
+                path.append((pattern, times))
+                search(rest, used + times, waste + lost * times, path)
+                path.pop()
+
+    if most > least:
+        try:
+            search(dict(counts), 0, 0, [])
+        except (_Spent, RecursionError):
+            return incumbent, most <= least
+    return incumbent, True
 
 
 def _places(patterns: list[Pattern]) -> dict[int, tuple[list[int], list[tuple[int, int, int]]]]:
@@ -258,7 +247,7 @@ def _assign(shared):
 
 
 def pack(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, files: tuple[str, str | None, str | None] | None = None) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; and whether fewer sequences are ruled out (``proven``).
 
     A document is its ids and then id 0; only one longer than ``capacity`` is cut, and its first piece takes what the
     full ones leave.  Null or empty text is id 0 alone; every row counts, repeated ids and texts too, null ids too; an
@@ -273,7 +262,8 @@ def pack(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", cap
     by_task = by_task.select("length", "task", "n", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     by_task = stage(by_task, "piece-sizes")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    shared = spark.sparkContext.broadcast(_places(complete(counts, capacity)))
+    patterns, proven = complete(counts, capacity)
+    shared = spark.sparkContext.broadcast(_places(patterns))
     ranked = pieces.join(by_task.select("length", "task", "before"), ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
     out = T.StructType([T.StructField("doc_id", kind), *(T.StructField(*x) for x in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_assign(shared), out)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_assign(shared), out).withColumn("proven", F.lit(proven))
