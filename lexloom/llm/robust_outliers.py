@@ -4,26 +4,33 @@ Every text gives a handful of counts; two base rules reject at once.  All other
 each language and source a minimum-covariance-determinant estimate is made of the transformed counts, and a text whose
 Mahalanobis distance from its own group is beyond ``cutoff`` is rejected.
 
-The estimate starts from medians and absolute deviations and then takes concentration steps: mean and covariance of the
-``share`` of rows that are nearest, distances by them, and again.  What is nearest is told by a quantile of each group,
-not by a sort, so a group of any size is sums and sketches only; no group comes together in one task.  Groups of fewer
-than ``least`` rows use their language's estimate, and such languages that of all rows.
+Each estimate has three starts with the medians as centre: absolute deviations alone, the covariance of values cut at two
+deviations, and that of directions from the centre.  From each, concentration steps are taken: mean and covariance of the
+``share`` of rows that are nearest, distances by them, and again.  After ``trial`` steps the start with the smallest
+determinant goes on alone.  The covariance is widened by the factor that makes it consistent for normal data, and
+``cutoff`` is the chi-square quantile that one clean text in ten million exceeds.
+
+What is nearest is told by a quantile of each group, not by a sort, so a group of any size is sums and sketches only; no
+group comes together in one task.  Groups of fewer than ``least`` rows use their language's estimate, and such languages
+that of all rows.
 """
 
 from __future__ import annotations
 
+from math import exp, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.storage import stage
+from lexloom.llm.storage import discard, stage
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-SHARE, STEPS, LEAST = 0.75, 4, 100
+SHARE, TRIAL, STEPS, LEAST = 0.75, 2, 4, 100
 #: Smallest standard deviation of each transformed count: what is the same in most texts of a group still varies a bit.
 FLOOR = 0.08
-#: Squared distance, in units of the floored covariance, beyond which a text is rejected.
-CUTOFF = 40.0
+#: The share of clean texts whose distance is beyond the cutoff, for normal data.
+TAIL = 1e-7
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("f_word_length", "f_symbols", "f_dup_lines", "f_repeats", "f_capitals")
 
@@ -104,34 +111,96 @@ def _distance(p: int) -> Column:
     return total
 
 
-def _estimate(rows: DataFrame, floor: float) -> DataFrame:
-    """Mean and inverse root of the floored covariance for each key of ``rows``."""
+def chi_square(p: int, x: float) -> float:
+    """The probability that a chi-square variable of ``p`` degrees is below ``x``."""
+    if x <= 0:
+        return 0.0
+    a, z = p / 2, x / 2
+    term = total = 1 / a
+    k = a
+    while term > 1e-17 * total:
+        k += 1
+        term *= z / k
+        total += term
+    from math import lgamma
+
+    return min(1.0, total * exp(a * log(z) - z - lgamma(a)))
+
+
+def chi_square_quantile(p: int, q: float) -> float:
+    low, high = 0.0, 1e3
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(p, mid) < q else (low, mid)
+    return (low + high) / 2
+
+
+def consistency(p: int, share: float) -> float:
+    """What the covariance of the nearest ``share`` of normal data is to be multiplied by."""
+    return share / chi_square(p + 2, chi_square_quantile(p, share)) if share < 1 else 1.0
+
+
+def _rooted(covariances: DataFrame, by: tuple[str, ...], floor: float) -> DataFrame:
+    """Means ``m_i`` and inverse root ``v_i_j`` from ``m_i`` and covariances ``c_i_j``, with the floor added."""
     p = len(FEATURES)
-    sums = [F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)]
-    sums += [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    out = rows.groupBy("key").agg(F.count("*").alias("n_used"), *sums)
     for i in range(p):
-        out = out.withColumn(f"c_{i}_{i}", F.col(f"c_{i}_{i}") + floor * floor)
+        covariances = covariances.withColumn(f"c_{i}_{i}", F.col(f"c_{i}_{i}") + floor * floor)
     for name, entry in _inverse_root(p).items():
-        out = out.withColumn(name, entry)
-    return out.select("key", *(f"m_{i}" for i in range(p)), *(f"v_{i}_{j}" for i in range(p) for j in range(i + 1)))
+        covariances = covariances.withColumn(name, entry)
+    return covariances.select(*by, *(f"m_{i}" for i in range(p)), *(f"v_{i}_{j}" for i in range(p) for j in range(i + 1)))
 
 
-def mcd(rows: DataFrame, *, share: float = SHARE, steps: int = STEPS, floor: float = FLOOR) -> DataFrame:
-    """Estimates for each ``key`` of ``rows(key, features)``: means ``m_i`` and inverse root ``v_i_j``."""
+def _estimate(rows: DataFrame, by: tuple[str, ...], floor: float, widen: float) -> DataFrame:
+    """Mean and inverse root of the widened and floored covariance for each key of ``rows``."""
+    p = len(FEATURES)
+    sums = [F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)]
+    sums += [(widen * F.covar_pop(FEATURES[i], FEATURES[j])).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    return _rooted(rows.groupBy(*by).agg(*sums), by, floor)
+
+
+def _starts(rows: DataFrame, floor: float) -> DataFrame:
+    """Three models for each key: ``start`` 0 to 2."""
     p = len(FEATURES)
     middle = rows.groupBy("key").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)))
-    far = rows.join(middle, "key").groupBy("key").agg(*(F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)), *((F.lit(1.0) / (1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000) + floor)).alias(f"v_{i}_{i}") for i, f in enumerate(FEATURES)))
-    model = stage(far.select("key", *(f"m_{i}" for i in range(p)), *((F.col(f"v_{i}_{i}") if i == j else F.lit(0.0)).alias(f"v_{i}_{j}") for i in range(p) for j in range(i + 1))), "mcd-start")
-    for k in range(steps):
-        held = rows.join(model, "key").select("key", *FEATURES, _distance(p).alias("d"))
-        edge = held.groupBy("key").agg(F.percentile_approx("d", share, 1000).alias("edge"))
-        near = held.join(edge, "key").where("d <= edge")
-        model = stage(_estimate(near, floor), f"mcd-{k}")
+    spread = rows.join(middle, "key").groupBy("key").agg(*(F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)), *((1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000)).alias(f"s_{i}") for i, f in enumerate(FEATURES)))
+    spread = stage(spread, "mcd-spread")
+    held = rows.join(spread, "key")
+    wide = [F.col(f"s_{i}") + floor for i in range(p)]
+    far = F.sqrt(sum(((F.col(f) - F.col(f"m_{i}")) / wide[i]) ** 2 for i, f in enumerate(FEATURES)))
+    held = held.withColumn("far", far)
+    cut = [F.greatest(F.least(F.col(f), F.col(f"m_{i}") + 2 * wide[i]), F.col(f"m_{i}") - 2 * wide[i]).alias(f"a_{i}") for i, f in enumerate(FEATURES)]
+    way = [F.when(F.col("far") > 0, (F.col(f) - F.col(f"m_{i}")) / F.col("far")).otherwise(0.0).alias(f"b_{i}") for i, f in enumerate(FEATURES)]
+    held = held.select("key", *cut, *way)
+    both = held.groupBy("key").agg(*((factor * F.covar_pop(f"{x}_{i}", f"{x}_{j}")).alias(f"{x}_{i}_{j}") for x, factor in (("a", 1), ("b", p)) for i in range(p) for j in range(i + 1)))
+    both = stage(both.join(spread, "key"), "mcd-covariances")
+    none = F.lit(0.0)
+    kinds = (lambda i, j: F.col(f"s_{i}") * F.col(f"s_{i}") if i == j else none, lambda i, j: F.col(f"a_{i}_{j}"), lambda i, j: F.col(f"b_{i}_{j}"))
+    out = None
+    for start, kind in enumerate(kinds):
+        one = both.select("key", F.lit(start).alias("start"), *(f"m_{i}" for i in range(p)), *(kind(i, j).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)))
+        out = one if out is None else out.union(one)
+    return stage(_rooted(out, ("key", "start"), floor), "mcd-start")
+
+
+def mcd(rows: DataFrame, *, share: float = SHARE, trial: int = TRIAL, steps: int = STEPS, floor: float = FLOOR) -> DataFrame:
+    """Estimates for each ``key`` of ``rows(key, features)``: means ``m_i`` and inverse root ``v_i_j``."""
+    p = len(FEATURES)
+    widen = consistency(p, share)
+    model, by = _starts(rows, floor), ("key", "start")
+    for k in range(trial + steps):
+        if k == trial:  # the smallest determinant: that of the root's inverse is the product of its diagonal
+            small = F.struct((-sum(F.log(f"v_{i}_{i}") for i in range(p))).alias("size"), "start")
+            model = model.join(model.groupBy("key").agg(F.min(small).alias("best")).select("key", F.col("best.start").alias("start")), ["key", "start"], "left_semi").drop("start")
+            by = ("key",)
+        held = rows.join(model, "key").select(*by, *FEATURES, _distance(p).alias("d"))
+        edge = held.groupBy(*by).agg(F.percentile_approx("d", share, 1000).alias("edge"))
+        near = held.join(edge, list(by)).where("d <= edge")
+        old, model = model, stage(_estimate(near, by, floor, widen), f"mcd-{k}")
+        discard(old)
     return model
 
 
-def quality_outliers(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", share: float = SHARE, steps: int = STEPS, least: int = LEAST, floor: float = FLOOR, cutoff: float = CUTOFF) -> DataFrame:
+def quality_outliers(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", share: float = SHARE, trial: int = TRIAL, steps: int = STEPS, least: int = LEAST, floor: float = FLOOR, tail: float = TAIL) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the counts, base_failed, distance, kept.
 
     ``base_failed``: fewer than 50 words, or over half of the words in repeated windows of three.  Only texts that pass
@@ -147,7 +216,8 @@ def quality_outliers(docs: DataFrame, *, text_col: str = "text", id_col: str = "
     passed = keyed.where(~F.col("base_failed")).select(F.explode(F.array("key0", "key1", "key2")).alias("key"), *FEATURES)
     sizes = stage(passed.groupBy("key").count().where(F.col("count") >= least).select("key"), "mcd-keys")
     rows = stage(passed.join(sizes, "key"), "mcd-rows")
-    model = mcd(rows, share=share, steps=steps, floor=floor)
+    model = mcd(rows, share=share, trial=trial, steps=steps, floor=floor)
+    cutoff = chi_square_quantile(len(FEATURES), 1 - tail)
     for k in range(3):  # the first of its keys that has an estimate
         keyed = keyed.join(sizes.select(F.col("key").alias(f"key{k}"), F.lit(True).alias(f"has{k}")), f"key{k}", "left")
     key = F.coalesce(*(F.when(F.col(f"has{k}"), F.col(f"key{k}")) for k in range(3)))
