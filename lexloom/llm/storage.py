@@ -75,18 +75,32 @@ def _release() -> None:
         trim(0)
 
 
-def in_slices(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], column: str = "text", rows: int = 1 << 14) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` over batches that hold ``SLICE_BYTES`` of ``column`` at most, or a single row, whatever the session's batches are."""
+def in_slices(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], column: str = "text", rows: int = 1 << 14, most: int = SLICE_BYTES, gather: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over batches that hold ``most`` bytes of ``column`` at most, or a single row, whatever the session's batches are.
 
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    With ``gather``, smaller batches are put together to about that size."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            if len(batch) <= rows and batch.nbytes <= SLICE_BYTES:
+            if held and size + batch.nbytes > most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in joined(batches) if gather else batches:
+            if len(batch) <= rows and batch.nbytes <= most:
                 yield batch
                 continue
             sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
             begin = held = 0
             for k, n in enumerate(sizes):
-                if k > begin and (held + n > SLICE_BYTES or k - begin == rows):
+                if k > begin and (held + n > most or k - begin == rows):
                     yield batch.slice(begin, k - begin)
                     begin, held = k, 0
                 held += n
