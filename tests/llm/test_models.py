@@ -422,3 +422,25 @@ def test_pipeline(spark):
         assert left and left <= ids
         ids = left
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    draw = np.random.default_rng(17)
+    words = lambda n: list(draw.choice([f"w{k}" for k in range(3000)], int(n)))
+    passage, base = words(51), words(300)
+    copy = list(base)
+    copy[150] = "other"
+    texts = {1: base, 2: copy, 3: base, 4: words(90) + passage + words(80), 5: words(70) + passage, 6: words(60), 7: ["long"] * 30_000}
+    rows = [(k, " ".join(t), "en", "s", 0, 1) for k, t in texts.items()] + [(8, None, None, None, None, 1), (9, "", "en", "s", 0, 1), (6, " ".join(texts[6]), "en", "s", 0, 1), (None, "no id", "en", None, 0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key int")
+    near, passages = (dict(corpus_pipeline.STAGES)[n] for n in ("minhash near-dedup", "suffix-array dedup"))
+    kept = near(spark, docs, SF)
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 9]  # one of each group, and of the rows that share an id
+    found = {r["doc_id"]: r for r in passages(spark, kept.cache(), SF).collect()}
+    assert 7 not in found and found[8]["text"] is None and found[9]["text"] == "" and found[None]["text"] == "no id"
+    assert found[4]["text"].split() == texts[4][:90] + texts[4][141:] and found[5]["text"].split() == texts[5][:70]
+    assert found[1]["text"] == " ".join(base) and found[4]["n_chars"] == len(found[4]["text"])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.STAGES[0][1](spark, docs, SF).count() <= len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).groupBy("doc_id").count().count() == 10
