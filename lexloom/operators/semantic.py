@@ -123,6 +123,7 @@ def build_semantic(documents: DataFrame, path: str, make_encoder: Callable[[], E
     if cells and not exists(spark, f"{path}/cells/centroids/_SUCCESS"):
         Ivf.train(rows.select("embedding_index", "embedding"), cells or CELLS).save(f"{path}/cells")
     n, dim = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    # The keys of the settings.
     config = {"model_name": model, "text_column": text_col, "document_prefix": X.PASSAGE_PREFIX, "query_prefix": X.QUERY_PREFIX, "normalize_embeddings": normalized, "index": "cells" if cells else "flat", "cells": cells, "probes": probes, "embedding_dim": dim or 0, "num_vectors": n}
     write_config(spark, config, f"{path}/config")
     return config
