@@ -83,7 +83,11 @@ def records_to_documents(raw: DataFrame, order: str | None = None) -> DataFrame:
 
 def fixed(df: DataFrame) -> DataFrame:
     """The same rows for every reader, in the shared folder, so that a lost executor takes none of them along."""
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None and named:
+        context.setCheckpointDir(named)
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
