@@ -3,11 +3,12 @@
 A token is coded as a walk down a binary tree: the frequent tokens are leaves of a Huffman tree, and so is one escape
 for each first byte of all others, which are then spelt.  Each step is a bit.
 
-*Along the text.*  Several predictors look up a hashed context, each with the node of the tree: none, the last anchor word
-(one of the most frequent tokens) before this token, what kind of token came just before, and both.  Contexts reach across
-words, so a text's language and matter tell what comes next.  A predictor's counts are smoothed towards those of the
-shorter context, its log-odds are mixed by weights that a gate picks (how often the contexts were seen), and an adaptive
-table of gate and odds refines the result.
+*Along the text.*  Several predictors look up a hashed context, each with the node of the tree, in two layers.  Those of the
+first are none, the last anchor word (one of the most frequent tokens) before this token, what kind of token came just
+before, and both: a text's language and matter tell what comes next.  Those of the second are the whole token before,
+whichever it is, and the whole two tokens before; they are mixed with what the first layer gives.  A predictor's counts are
+smoothed towards those of the shorter context, its log-odds are mixed by weights that a gate picks (how often the contexts
+were seen), and an adaptive table of gate and odds refines the result of each layer.
 
 *Inside a spelt token.*  The bits of the bytes after the first are predicted by the last one to three bytes and by the whole
 token so far, mixed and refined alike.  A token's own discounted count in the training texts is added to what the spelling
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.bytehash import arrow_text, prefix_sums, ranges
+from lexloom.llm.bytehash import arrow_text, mix64, prefix_sums, ranges
 from lexloom.llm.storage import discard, in_slices, stage
 
 #: Most leaves that are tokens, and how often such a token occurs at least; anchors; tokens whose scores go to every task.
@@ -48,10 +49,12 @@ KINDS = 4
 TEXT_BYTES = 8 << 20
 #: Bits of the tables of hashed contexts along the text: none, anchor, kind before, both.
 WORD_BITS = (15, 19, 17, 20)
+#: Bits of those of whole tokens: the one before, the two before.
+TOKEN_BITS = (20, 20)
 #: Bytes of context inside a token (0: the token so far) and bits of its table.
 ORDERS = ((1, 16), (2, 18), (3, 20), (0, 20))
 _SPELL_BITS = tuple(b for _, b in ORDERS)
-_LEVELS, _BUCKETS, _CHUNK, _STEP, _PART = (0, 3, 30), 33, 1 << 13, 1 << 20, 1 << 16
+_LEVELS, _BUCKETS, _CHUNK, _RUN, _STEP, _PART = (0, 3, 30), 33, 1 << 13, 1 << 11, 1 << 20, 1 << 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -137,13 +140,14 @@ class Mixer:
         self.bits = 0.0
 
     def odds(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", x, self.weights.astype(x.dtype)[gate])
+        weights = self.weights.astype(x.dtype)
+        return sum(x[:, i] * weights[:, i][gate] for i in range(x.shape[1]))
 
     def refined(self, gate: np.ndarray, odds: np.ndarray) -> np.ndarray:
         """The refined probability, between two buckets of odds."""
         at = (np.clip(odds, -8, 7.999) + 8) * ((_BUCKETS - 1) / 16)
         low = at.astype(np.int64)
-        high = at - low
+        high = at - low.astype(at.dtype)
         spot, flat = gate * _BUCKETS + low, self.refine.astype(odds.dtype).ravel()
         return flat[spot] * (1 - high) + flat[spot + 1] * high
 
@@ -185,9 +189,15 @@ class Counts:
         self.n = np.zeros((self.first[-1], 2), np.float32)
 
     def of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        both = self.n.view(np.complex64)[:, 0][slots]
+        both = self.n.view(np.complex64)[:, 0].take(slots)
         return both.real, both.imag
 
+    def ending(self, tables: int) -> Counts:
+        """The last tables alone."""
+        out = Counts(())
+        out.first, out.n = self.first[-tables - 1 :] - self.first[-tables - 1], self.n[self.first[-tables - 1] :].copy()
+        return out
+
     def add(self, slots: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
         for row in slots:
             np.add.at(self.n.view(np.complex64)[:, 0], row, zeros + 1j * ones)
@@ -201,37 +211,42 @@ def _levels(n: np.ndarray) -> np.ndarray:
     return sum((n > x).astype(np.int64) for x in _LEVELS)
 
 
-def _packed(counts: Counts, mixer: Mixer) -> pa.RecordBatch:
-    """A task's counts in parts and, as part -1, its weights."""
-    rows = [(-1, mixer.vector().tobytes())]
+def _packed(counts: Counts, *mixers: Mixer) -> pa.RecordBatch:
+    """A task's counts in parts and, as parts -1, -2 and so on, its weights."""
+    rows = [(-1 - k, mixer.vector().tobytes()) for k, mixer in enumerate(mixers)]
     flat = counts.n.ravel()
     for k in range(0, len(flat), _PART):
         part = flat[k : k + _PART]
         if part.any():
-            rows.append((k // _PART, part.astype(np.float64).tobytes()))
+            rows.append((k // _PART, part.tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "salt", "vector"])
 
 
 _PARTS = "part int, salt int, vector binary"
 
 
+def _numbers(part: int, vector: bytes) -> np.ndarray:
+    return np.frombuffer(vector, np.float64 if part < 0 else np.float32)
+
+
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, vector in zip(batch.column("part").to_pylist(), batch.column("vector").to_pylist(), strict=True):
-            total[part] = total[part] + np.frombuffer(vector) if part in total else np.frombuffer(vector)
+            x = _numbers(part, vector)
+            total[part] = total[part] + x if part in total else x
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["part", "salt", "vector"])
 
 
-def _merged(parts: DataFrame, counts: Counts, mixer: Mixer, name: str) -> None:
-    """Add up the tasks' parts, in two steps, into ``counts`` and ``mixer``; as many rows reach the driver as a task has parts."""
+def _merged(parts: DataFrame, name: str, counts: Counts, *mixers: Mixer) -> None:
+    """Add up the tasks' parts, in two steps, into ``counts`` and ``mixers``; as many rows reach the driver as a task has parts."""
     some = parts.repartition("part", "salt").mapInArrow(_add_up, _PARTS)
     table = stage(some.repartition("part").mapInArrow(_add_up, _PARTS), name)
     flat = counts.n.ravel()
     for part, vector in zip(*(table.toArrow()[c].to_pylist() for c in ("part", "vector")), strict=True):
-        x = np.frombuffer(vector)
+        x = _numbers(part, vector)
         if part < 0:
-            mixer.merge(x)
+            mixers[-1 - part].merge(x)
         else:
             flat[part * _PART : part * _PART + len(x)] = x
     discard(table)
@@ -284,12 +299,19 @@ class Tree:
         self.size = real.sum(axis=1)
         self.start = np.append(0, np.cumsum(self.size))
         self.nodes, self.bits = nodes[real].astype(np.int64), bits[real].astype(np.int8)
+        top, place = np.arange(n - 1), np.ones(n - 1, np.int64)  # of every three levels the top node, and the place below it, 1 to 7
+        for node in range(1, n - 1):
+            up, bit = self.root - above[self.root - node], side[self.root - node]
+            if place[up] < 4:
+                top[node], place[node] = top[up], 2 * place[up] + bit
+        mark = mix64((top + 1).astype(np.uint64) * _ODD[0])
+        self.marks = [mark ^ place.astype(np.uint64) << np.uint64(64 - b) for b in TOKEN_BITS]
 
     def steps(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For leaves one after another: which of them, the node and the bit of each step."""
         size = self.size[leaf]
         row = np.repeat(np.arange(len(leaf)), size)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + self.start[leaf][row]
+        at = np.arange(len(row)) + np.repeat(self.start[leaf] - np.cumsum(size) + size, size)
         return row, self.nodes[at], self.bits[at]
 
     def leaves(self, one: np.ndarray) -> np.ndarray:
@@ -359,10 +381,65 @@ class Leaves:
         return leaf, _state(anchor, kind, offsets), offsets
 
 
-def learn_words(leaf: np.ndarray, state: np.ndarray, tree: Tree, counts: Counts, mixer: Mixer, draw: np.random.Generator) -> None:
-    """One step of learning: predict the tokens by the counts so far, move the weights, then count.
+def token_hashes(tokens: Tokens) -> np.ndarray:
+    """Two zeros and the hash of each token; ends have 0.  They come from the bytes, so each token has its own, however rare."""
+    data, at = arrow_text(tokens.coded)
+    hashed = ranges(prefix_sums(data[at[0] : at[-1]]), at[:-1] - at[0], at[1:] - at[0]) | np.uint64(1)
+    return np.append(np.zeros(2, np.uint64), tokens.with_ends(hashed, np.uint64(0))[0])
+
+
+def tokens_before(hashed: np.ndarray) -> np.ndarray:
+    """Hashes ``[2, n]`` of the whole token before each token, and of the two before; ``hashed`` begins two tokens earlier.
+
+    Nothing is taken from the text before: what follows an end has none before it."""
+    one, two = hashed[1:-1], np.where(hashed[1:-1] == 0, np.uint64(0), hashed[:-2])
+    return np.stack([mix64(one + _ODD[2]), mix64(two * _ODD[1] + one + _ODD[3])])
+
+
+def _token_slots(before: np.ndarray, size: np.ndarray, node: np.ndarray, tree: Tree, first: np.ndarray) -> np.ndarray:
+    """Slots of the steps of tokens, ``size`` each, by what ``tokens_before`` tells of these tokens.
+
+    Three steps in a row lie side by side, at most eight slots from each other."""
+    out = np.empty((len(TOKEN_BITS), len(node)), np.int64)
+    for k, bits in enumerate(TOKEN_BITS):
+        out[k] = (np.repeat(before[k], size) ^ tree.marks[k][node]) >> np.uint64(64 - bits)
+        out[k] += first[k - len(TOKEN_BITS) - 1]
+    return out
+
+
+def _token_inputs(p: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds ``[n, 4]`` of the first layer's ``p`` and of the whole tokens before, smoothed alike, and the gate."""
+    x = np.empty((4, len(p)), p.dtype)
+    x[0], x[3] = np.log(p / (1 - p)), 0.3
+    gate = np.zeros(len(p), np.int64)
+    for k, weight in enumerate((4, 2)):
+        ones, zeros = n1[k] + weight * p, n0[k] + weight * (1 - p)
+        n = ones + zeros
+        x[k + 1] = np.log(ones / zeros)
+        p = np.clip(ones / n, 1e-6, 1 - 1e-6)
+        gate *= 4
+        for level in _LEVELS:
+            gate += n > level + weight + 0.5
+    return x.T, gate
 
-    Equal tokens in equal states are one, and so are equal nodes, with their numbers of zeros and ones."""
+
+def _token_steps(leaf: np.ndarray, state: np.ndarray, before: np.ndarray, tree: Tree, given: np.ndarray, counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots, log-odds, gates and bits of the second layer for the steps of leaves one after another."""
+    _, node, bit = tree.steps(leaf)
+    size = tree.size[leaf]
+    slots = _token_slots(before, size, node, tree, counts.first)
+    x, gate = _token_inputs(given.ravel().take(np.repeat(state * given.shape[1], size) + node), *counts.of(slots))
+    return slots, x, gate, bit
+
+
+def _token_mixer() -> Mixer:
+    return Mixer(16, (0.4, 0.3, 0.3, 0.0))
+
+
+def learn_words(leaf: np.ndarray, state: np.ndarray, hashed: np.ndarray, tree: Tree, counts: Counts, mixer: Mixer, last: Mixer, draw: np.random.Generator) -> None:
+    """One step of learning: predict the tokens by the counts so far, move the weights of both layers, then count.
+
+    For the first layer equal tokens in equal states are one, and so are equal nodes, with their numbers of zeros and ones."""
     inner, top = tree.n - 1, int(state.max()) + 1
     if not inner:
         return
@@ -371,12 +448,20 @@ def learn_words(leaf: np.ndarray, state: np.ndarray, tree: Tree, counts: Counts,
     total = (upto[:, tree.high] - upto[:, tree.low]).ravel()
     at = draw.permutation(np.flatnonzero(total))
     total, ones = total[at], upto[at // inner, tree.high[at % inner]] - upto[at // inner, tree.mid[at % inner]]
+    del upto
     slots = _word_slots(at // inner, at % inner, counts.first)
+    given = np.empty(top * inner, np.float32)
     for a in range(0, len(at), _CHUNK):
         some = slice(a, a + _CHUNK)
-        here = slots[:, some]
-        mixer.learn(*_word_inputs(*counts.of(here)), ones[some], total[some])
+        x, gate = _word_inputs(*counts.of(slots[:, some]))
+        given[at[some]] = mixer.predict(x, gate)
+        mixer.learn(x, gate, ones[some], total[some])
     counts.add(slots, (total - ones).astype(np.float32), ones.astype(np.float32))
+    for a in range(0, len(leaf), _RUN):
+        some = slice(a, a + _RUN)
+        slots, x, gate, bit = _token_steps(leaf[some], state[some], tokens_before(hashed[a : a + _RUN + 2]), tree, given.reshape(top, -1), counts)
+        last.learn(x, gate, bit, np.ones(len(bit), np.float32))
+        counts.add_bits(slots, bit)
 
 
 def _learn_words(shared):
@@ -384,28 +469,48 @@ def _learn_words(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves, tree = shared.value
-        counts, mixer = Counts(WORD_BITS), _word_mixer()
+        counts, mixer, last = Counts((*WORD_BITS, *TOKEN_BITS)), _word_mixer(), _token_mixer()
         draw, step = np.random.Generator(np.random.PCG64(7)), 1 << 14
         for batch in batches:
-            leaf, state, _ = leaves.of(Tokens.of(batch.column("text")))
+            tokens = Tokens.of(batch.column("text"))
+            leaf, state, _ = leaves.of(tokens)
+            hashed = token_hashes(tokens)
+            del tokens
             at = 0
             while at < len(leaf):
-                learn_words(leaf[at : at + step], state[at : at + step], tree, counts, mixer, draw)
+                some = slice(at, at + step)
+                learn_words(leaf[some], state[some], hashed[at : at + step + 2], tree, counts, mixer, last, draw)
                 at, step = at + step, min(2 * step, _STEP)
-        yield _packed(counts, mixer)
+        yield _packed(counts, mixer, last)
 
     return in_slices(run, most=TEXT_BYTES, gather=True)
 
 
-def leaf_scores(tree: Tree, counts: Counts, mixer: Mixer, states: int) -> np.ndarray:
-    """Log10 of each leaf's probability in each state."""
+def node_scores(tree: Tree, counts: Counts, mixer: Mixer, states: int) -> np.ndarray:
+    """The first layer's probability of bit one at each inner node in each state."""
     inner = tree.n - 1
     one = np.empty((states, inner))
     node = np.arange(inner)
     for s in range(states):
         slots = _word_slots(np.full(inner, s), node, counts.first)
         one[s] = mixer.predict(*_word_inputs(*counts.of(slots)))
-    return tree.leaves(one)
+    return one
+
+
+def leaf_scores(tree: Tree, counts: Counts, mixer: Mixer, states: int) -> np.ndarray:
+    """Log10 of each leaf's probability in each state by the first layer alone."""
+    return tree.leaves(node_scores(tree, counts, mixer, states))
+
+
+def walk_scores(leaf: np.ndarray, state: np.ndarray, hashed: np.ndarray, tree: Tree, given: np.ndarray, counts: Counts, last: Mixer) -> np.ndarray:
+    """Log10 of the probability of each leaf, in its state and after the tokens before; ``given`` is the first layer's, ``counts`` end with the second's."""
+    out = np.zeros(len(leaf))
+    for a in range(0, len(leaf), _RUN):
+        some = slice(a, a + _RUN)
+        _, x, gate, bit = _token_steps(leaf[some], state[some], tokens_before(hashed[a : a + _RUN + 2]), tree, given, counts)
+        size = tree.size[leaf[some]]
+        out[some] = np.add.reduceat(np.log10(np.abs(1 - bit - last.predict(x, gate))), np.cumsum(size) - size)
+    return out
 
 
 # --- inside a token ---------------------------------------------------------------------------------------------
@@ -504,7 +609,7 @@ def _score_texts(shared):
     """Documents to a row each, with what frequent tokens add up to, and a row for each other token in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaves, table, words, count, base, extra = shared.value
+        leaves, tree, given, contexts, last, words, count, base, extra = shared.value
         find = dict(zip(words, range(len(words)), strict=True)).get
         count, base, extra = np.append(count, 0), np.append(base, 0.0), np.append(extra, 0.0)
         row = TaskContext.get().partitionId() << 40
@@ -513,7 +618,7 @@ def _score_texts(shared):
             place = np.array([find(w, -1) for w in tokens.words], np.int64)
             leaf, state, offsets = leaves.of(tokens, place)
             doc = np.repeat(np.arange(n), np.diff(offsets))
-            walk = np.bincount(doc, table[state, leaf], n)
+            walk = np.bincount(doc, walk_scores(leaf, state, token_hashes(tokens), tree, given, contexts, last), n)
             at, _ = tokens.with_ends(place, find(b"", -1))
             known, low, more = (np.bincount(doc, x[at], n) for x in ((count > 0).astype(np.float64), base, extra))
             rare = place[tokens.word] < 0 if len(tokens.word) else np.zeros(0, bool)
@@ -565,18 +670,18 @@ def score_texts(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     count = np.insert(count, anchors, ends)
     tree = Tree(np.concatenate([np.maximum(count, 1), total + 1]))
     shared = spark.sparkContext.broadcast((listed, tree))
-    contexts, mixer = Counts(WORD_BITS), _word_mixer()
-    _merged(base.where("not held_out").select("text").mapInArrow(_learn_words(shared), _PARTS), contexts, mixer, "context-counts")
-    table = leaf_scores(tree, contexts, mixer, (anchors + 2) * KINDS)
+    contexts, mixer, last = Counts((*WORD_BITS, *TOKEN_BITS)), _word_mixer(), _token_mixer()
+    _merged(base.where("not held_out").select("text").mapInArrow(_learn_words(shared), _PARTS), "context-counts", contexts, mixer, last)
+    given = node_scores(tree, contexts, mixer, (anchors + 2) * KINDS).astype(np.float32)
 
     letters, speller = Counts(_SPELL_BITS), _spell_mixer()
-    _merged(words.where("c > 0").where("length(word) > 0").select("word").mapInArrow(_learn_spelling, _PARTS), letters, speller, "spelling-counts")
+    _merged(words.where("c > 0").where("length(word) > 0").select("word").mapInArrow(_learn_spelling, _PARTS), "spelling-counts", letters, speller)
     model = spark.sparkContext.broadcast((letters, speller, total, kinds))
     scored = stage(spelled.mapInArrow(_score_words(model, n, v, discount), "word binary, c long, base double, extra double"), "scored-words")
     more = scored.orderBy(F.desc("c"), "word").limit(max(heavy - len(count), 0)).toArrow()
     names = [*listed.place, *more["word"].to_pylist()]
     frequent = (names, np.append(count, more["c"].to_numpy()), np.append(_base(count, n, v), more["base"].to_numpy()), np.append(np.zeros(len(count)), more["extra"].to_numpy()))
-    known = spark.sparkContext.broadcast((listed, table, *frequent))
+    known = spark.sparkContext.broadcast((listed, tree, given, contexts.ending(len(TOKEN_BITS)), last, *frequent))
     fields = [("row", T.LongType()), ("doc_id", kind), ("held_out", T.BooleanType()), ("size", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("word", T.BinaryType()), ("times", T.LongType())]
     read = stage(base.mapInArrow(_score_texts(known), T.StructType([T.StructField(*x) for x in fields])), "text-tokens")
     discard(words)

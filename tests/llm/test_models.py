@@ -266,6 +266,46 @@ def test_leaves_sum_to_one_and_follow_the_counts():
         assert math.isclose(found[6, k], np.log10(np.where(bit == 1, p, 1 - p)).sum(), abs_tol=1e-3)
 
 
+def test_whole_tokens_before_tell_what_comes_next(spark):
+    """Tokens that are no anchors and of one kind, each as often as the others: only the whole tokens before tell them apart."""
+    anchors = " ".join(f"a{k:02}" for k in range(31))
+    pair = lambda k, m: f"{anchors} p{k:02} q{m:02}"
+    three = lambda k, m: f"{anchors} r{k:02} same s{m:02}"
+    train = [(i, t(k, k)) for i, (t, k) in enumerate((t, k) for _ in range(40) for t in (pair, three) for k in range(20))]
+    train = [(i * 1000 + next(x for x in range(1000) if zlib.crc32(str(i * 1000 + x).encode()) % 10), text) for i, text in train]
+    asked = {9_000_000 + 2 * k + swapped: (t, k, swapped) for t, k, swapped in ((pair, 1, 0), (pair, 1, 1))}
+    asked |= {9_000_010 + swapped: (three, 1, swapped) for swapped in (0, 1)}
+    own = {d * 1000 + next(x for x in range(1000) if zlib.crc32(str(d * 1000 + x).encode()) % 10 == 0): v for d, v in asked.items()}
+    rows = train + [(d, t(k, (k + 7 * swapped) % 20)) for d, (t, k, swapped) in own.items()]
+    found = {r["doc_id"]: r for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert all(found[d]["held_out"] for d in own)
+    score = {(t, swapped): found[d]["score"] for d, (t, _, swapped) in own.items()}
+    assert score[pair, 0] > score[pair, 1] + 1 and score[three, 0] > score[three, 1] + 0.5
+
+
+def test_tokens_before_and_walks_sum_to_one():
+    draw = np.random.default_rng(5)
+    tokens = lm.Tokens.of(pa.array(["a b c", None, "c b c b", " b c", "a b zz"], pa.string()))
+    leaves = lm.Leaves([b"a", b"", b"b", b"c"], 1)
+    leaf, state, _ = leaves.of(tokens)
+    hashed = lm.token_hashes(tokens)
+    before = lm.tokens_before(hashed)
+    want = [(t[k - 1] if k else None, t[k - 2] if k > 1 else None) for t in (["a", "b", "c"], [], ["c", "b", "c", "b"], ["b", "c"], ["a", "b", "zz"]) for k in range(len(t) + 1)]
+    for k, distinct in ((0, [w[0] for w in want]), (1, want)):
+        assert len(set(before[k].tolist())) == len(set(distinct)) == len(set(zip(before[k].tolist(), distinct, strict=True)))
+    tree = lm.Tree(draw.integers(1, 1000, 4 + 256))
+    counts, mixer, last = lm.Counts((*lm.WORD_BITS, *lm.TOKEN_BITS)), lm._word_mixer(), lm._token_mixer()
+    for _ in range(30):
+        lm.learn_words(leaf, state, hashed, tree, counts, mixer, last, draw)
+    given = lm.node_scores(tree, counts, mixer, 8).astype(np.float32)
+    for k in (0, 2, len(leaf) - 1):
+        found = [lm.walk_scores(np.array([x]), state[k : k + 1], hashed[k : k + 3], tree, given, counts.ending(2), last)[0] for x in range(tree.n)]
+        assert math.isclose((10.0 ** np.array(found)).sum(), 1, abs_tol=1e-4)
+    whole = lm.walk_scores(leaf, state, hashed, tree, given, counts, last)
+    alone = [lm.walk_scores(leaf[k : k + 1], state[k : k + 1], hashed[k : k + 3], tree, given, counts, last)[0] for k in range(len(leaf))]
+    assert np.allclose(whole, alone, atol=1e-5) and whole.mean() > tree.leaves(given)[state, leaf].mean()
+
+
 def test_spelling_sums_to_one_at_most():
     counts, mixer = lm.Counts(lm._SPELL_BITS), lm._spell_mixer()
     words = [b"ab", b"abc", b"b", b"ba"] * 50
