@@ -141,7 +141,10 @@ class Mixer:
 
     def odds(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         weights = self.weights.astype(x.dtype)
-        return sum(x[:, i] * weights[:, i][gate] for i in range(x.shape[1]))
+        odds = x[:, 0] * weights[:, 0].take(gate, mode="clip")
+        for i in range(1, x.shape[1]):
+            odds += x[:, i] * weights[:, i].take(gate, mode="clip")
+        return odds
 
     def refined(self, gate: np.ndarray, odds: np.ndarray) -> np.ndarray:
         """The refined probability, between two buckets of odds."""
@@ -160,12 +163,12 @@ class Mixer:
         gates, k = self.weights.shape
         odds = self.odds(x, gate)
         error = ones - _squash(odds) * times
-        seen = np.bincount(gate, times, gates)
+        spot = gate * _BUCKETS + np.rint((np.clip(odds, -8, 8) + 8) * ((_BUCKETS - 1) / 16)).astype(np.int64)
+        total = np.bincount(spot, times, gates * _BUCKETS)
+        seen = total.reshape(gates, -1).sum(axis=1)
         slope = np.stack([np.bincount(gate, error * x[:, i], gates) for i in range(k)], 1) / np.maximum(seen, 1)[:, None]
         self.steep += slope**2
         self.weights += 0.03 * slope / np.sqrt(self.steep)
-        spot = gate * _BUCKETS + np.rint((np.clip(odds, -8, 8) + 8) * ((_BUCKETS - 1) / 16)).astype(np.int64)
-        total = np.bincount(spot, times, gates * _BUCKETS)
         flat = self.refine.ravel()
         flat += (np.bincount(spot, ones, gates * _BUCKETS) - total * flat) / (total + 200)
         self.bits += float(times.sum())
@@ -208,7 +211,7 @@ class Counts:
 
 
 def _levels(n: np.ndarray) -> np.ndarray:
-    return sum((n > x).astype(np.int64) for x in _LEVELS)
+    return sum((n > x).view(np.int8) for x in _LEVELS).astype(np.int64)
 
 
 def _packed(counts: Counts, *mixers: Mixer) -> pa.RecordBatch:
@@ -305,7 +308,8 @@ class Tree:
             if place[up] < 4:
                 top[node], place[node] = top[up], 2 * place[up] + bit
         mark = mix64((top + 1).astype(np.uint64) * _ODD[0])
-        self.marks = [mark ^ place.astype(np.uint64) << np.uint64(64 - b) for b in TOKEN_BITS]
+        self.marks = {b: mark ^ place.astype(np.uint64) << np.uint64(64 - b) for b in TOKEN_BITS}
+        self.both = (self.nodes << 1 | self.bits).astype(np.int32)
 
     def steps(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For leaves one after another: which of them, the node and the bit of each step."""
@@ -314,6 +318,13 @@ class Tree:
         at = np.arange(len(row)) + np.repeat(self.start[leaf] - np.cumsum(size) + size, size)
         return row, self.nodes[at], self.bits[at]
 
+    def path(self, leaf: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``steps``, the nodes and bits alone."""
+        at = np.repeat(self.start[leaf] - np.cumsum(size) + size, size)
+        at += np.arange(len(at))
+        both = self.both.take(at, mode="clip")
+        return (both >> 1).astype(np.int64), (both & 1).astype(np.int8)
+
     def leaves(self, one: np.ndarray) -> np.ndarray:
         """Log10 of each leaf's probability from those of bit one at the inner nodes; rows are states."""
         out = np.zeros((len(one), 2 * self.n - 1))
@@ -354,7 +365,7 @@ def _word_inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray
     p0 = (n1[0] + 0.4) / (n[0] + 0.8)
     p1, p2 = ((n1[k] + 4 * p0) / (n[k] + 4) for k in (1, 2))
     p3 = (n1[3] + 4 * p1) / (n[3] + 4)
-    x = np.stack([*(_stretch(p) for p in (p0, p1, p2, p3)), np.full(len(p0), 0.3, p0.dtype)], 1)
+    x = np.stack([*(_stretch(p) for p in (p0, p1, p2, p3)), np.full(len(p0), 0.3, p0.dtype)]).T
     return x, _levels(n[1]) * 4 + _levels(n[3])
 
 
@@ -401,9 +412,12 @@ def _token_slots(before: np.ndarray, size: np.ndarray, node: np.ndarray, tree: T
 
     Three steps in a row lie side by side, at most eight slots from each other."""
     out = np.empty((len(TOKEN_BITS), len(node)), np.int64)
+    mark = {b: x.take(node, mode="clip") for b, x in tree.marks.items()}
     for k, bits in enumerate(TOKEN_BITS):
-        out[k] = (np.repeat(before[k], size) ^ tree.marks[k][node]) >> np.uint64(64 - bits)
-        out[k] += first[k - len(TOKEN_BITS) - 1]
+        slot = np.repeat(before[k], size)
+        slot ^= mark[bits]
+        slot >>= np.uint64(64 - bits)
+        np.add(slot.view(np.int64), first[k - len(TOKEN_BITS) - 1], out=out[k])
     return out
 
 
@@ -411,22 +425,23 @@ def _token_inputs(p: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.nda
     """Log-odds ``[n, 4]`` of the first layer's ``p`` and of the whole tokens before, smoothed alike, and the gate."""
     x = np.empty((4, len(p)), p.dtype)
     x[0], x[3] = np.log(p / (1 - p)), 0.3
-    gate = np.zeros(len(p), np.int64)
+    gate = np.zeros(len(p), np.int8)
     for k, weight in enumerate((4, 2)):
+        if k:
+            p = np.clip(ones / n, 1e-6, 1 - 1e-6)  # noqa: F821
         ones, zeros = n1[k] + weight * p, n0[k] + weight * (1 - p)
         n = ones + zeros
-        x[k + 1] = np.log(ones / zeros)
-        p = np.clip(ones / n, 1e-6, 1 - 1e-6)
+        np.log(ones / zeros, out=x[k + 1])
         gate *= 4
         for level in _LEVELS:
-            gate += n > level + weight + 0.5
-    return x.T, gate
+            gate += (n > level + weight + 0.5).view(np.int8)
+    return x.T, gate.astype(np.int64)
 
 
 def _token_steps(leaf: np.ndarray, state: np.ndarray, before: np.ndarray, tree: Tree, given: np.ndarray, counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Slots, log-odds, gates and bits of the second layer for the steps of leaves one after another."""
-    _, node, bit = tree.steps(leaf)
     size = tree.size[leaf]
+    node, bit = tree.path(leaf, size)
     slots = _token_slots(before, size, node, tree, counts.first)
     x, gate = _token_inputs(given.ravel().take(np.repeat(state * given.shape[1], size) + node), *counts.of(slots))
     return slots, x, gate, bit
@@ -447,9 +462,10 @@ def learn_words(leaf: np.ndarray, state: np.ndarray, hashed: np.ndarray, tree: T
     np.cumsum(np.bincount(state * tree.n + tree.rank[leaf], minlength=top * tree.n).reshape(top, -1), axis=1, out=upto[:, 1:])
     total = (upto[:, tree.high] - upto[:, tree.low]).ravel()
     at = draw.permutation(np.flatnonzero(total))
-    total, ones = total[at], upto[at // inner, tree.high[at % inner]] - upto[at // inner, tree.mid[at % inner]]
+    of, node = np.divmod(at, inner)
+    total, ones = total[at], upto[of, tree.high[node]] - upto[of, tree.mid[node]]
     del upto
-    slots = _word_slots(at // inner, at % inner, counts.first)
+    slots = _word_slots(of, node, counts.first)
     given = np.empty(top * inner, np.float32)
     for a in range(0, len(at), _CHUNK):
         some = slice(a, a + _CHUNK)
@@ -509,8 +525,8 @@ def walk_scores(leaf: np.ndarray, state: np.ndarray, hashed: np.ndarray, tree: T
         some = slice(a, a + _RUN)
         _, x, gate, bit = _token_steps(leaf[some], state[some], tokens_before(hashed[a : a + _RUN + 2]), tree, given, counts)
         size = tree.size[leaf[some]]
-        out[some] = np.add.reduceat(np.log10(np.abs(1 - bit - last.predict(x, gate))), np.cumsum(size) - size)
-    return out
+        out[some] = np.add.reduceat(np.log(np.abs(1 - bit - last.predict(x, gate))), np.cumsum(size) - size)
+    return out / np.log(10)
 
 
 # --- inside a token ---------------------------------------------------------------------------------------------
@@ -545,7 +561,7 @@ def _spell_inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for k in range(1, len(ORDERS)):
         p = (n1[k] + 2 * p) / (n[k] + 2)
         held.append(p)
-    x = np.stack([*(_stretch(p) for p in held), np.full(n.shape[1], 0.3, n.dtype)], 1)
+    x = np.stack([*(_stretch(p) for p in held), np.full(n.shape[1], 0.3, n.dtype)]).T
     return x, _levels(n[2]) * 4 + _levels(n[3])
 
 
@@ -560,7 +576,7 @@ def _learn_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         words = batch.column("word").to_pylist()
         for a in range(0, len(words), 500):
             slots, bit, _ = _spelling(words[a : a + 500])
-            once = np.ones(len(bit))
+            once = np.ones(len(bit), np.float32)
             mixer.learn(*_spell_inputs(*counts.of(slots)), bit, once)
             counts.add_bits(slots, bit)
     yield _packed(counts, mixer)
@@ -573,8 +589,8 @@ def spelt(words: list[bytes], counts: Counts, mixer: Mixer, most: int = 500) ->
         part = words[a : a + most]
         slots, bit, word = _spelling(part)
         p = mixer.predict(*_spell_inputs(*counts.of(slots)))
-        out.append(np.bincount(word, np.log10(np.abs(1 - bit - p)), len(part)))
-    return np.concatenate(out)
+        out.append(np.bincount(word, np.log(np.abs(1 - bit - p)), len(part)))
+    return np.concatenate(out) / np.log(10)
 
 
 def backed_off(count: np.ndarray, spelling: np.ndarray, n: np.ndarray, v: np.ndarray, discount: float) -> np.ndarray:
