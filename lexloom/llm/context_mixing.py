@@ -30,6 +30,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ LEAVES, LEAST, ANCHORS, HEAVY, FLUSH = 1 << 14, 5, 31, 300_000, 600_000
 KINDS = 4
 #: Bytes of text that are tokenised at a time: words that recur in them are looked up once.
 TEXT_BYTES = 8 << 20
+#: Of them, tokens whose leaves, states and scores are held at a time, unless one text has more; different tokens hashed at a time.
+PIECE, HASHED = 1 << 16, 1 << 14
 #: Bits of the tables of hashed contexts along the text: none, anchor, kind before, both.
 WORD_BITS = (15, 19, 17, 20)
 #: Bits of those of whole tokens: the one before, the two before.
@@ -63,9 +66,8 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE
 
 @dataclass
 class Tokens:
-    """The tokens of a batch of texts: which of ``words`` each is, and its text; ends aren't among them."""
+    """The tokens of a batch of texts: which of the different ones in ``coded`` each is, and its text; ends aren't among them."""
 
-    words: list[bytes]
     coded: pa.Array
     word: np.ndarray
     doc: np.ndarray
@@ -80,17 +82,46 @@ class Tokens:
         size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         coded = pc.list_flatten(lists).dictionary_encode()
         word, named = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary())
-        words = named.to_pylist()
-        doc = np.repeat(np.arange(len(column)), size)
-        if b"" in words:  # before leading and after trailing white space
-            real = word != words.index(b"")
+        doc = np.repeat(np.arange(len(column), dtype=np.int32), size)
+        empty = np.flatnonzero(pc.binary_length(named).to_numpy(zero_copy_only=False) == 0)
+        if len(empty):  # before leading and after trailing white space
+            real = word != empty[0]
             word, doc = word[real], doc[real]
-        return cls(words, named, word, doc, len(column))
+        return cls(named, word, doc, len(column))
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        data, at = arrow_text(self.coded)
+        raw, at = data.tobytes(), at.tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """The first byte of each of ``words``; 0 if it is empty."""
+        data, at = arrow_text(self.coded)
+        return np.where(np.diff(at) > 0, np.append(data, np.uint8(0))[at[:-1]], 0).astype(np.int64)
+
+    def pieces(self, most: int = PIECE) -> Iterator[tuple[int, Tokens]]:
+        """Texts in a row, whole, with ``most`` tokens in all unless one alone has more; the number of the first before each."""
+        upto = np.append(0, np.cumsum(np.bincount(self.doc, minlength=self.n)))
+        begin = 0
+        while begin < self.n:
+            end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + most, side="right")) - 1)
+            some = slice(upto[begin], upto[end])
+            yield begin, Tokens(self.coded, self.word[some], self.doc[some] - np.int32(begin), end - begin)
+            begin = end
 
     def with_ends(self, value: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
         """A value for each token and, after each text's last one, ``end``; and ``n + 1`` offsets of the texts."""
-        size = np.bincount(self.doc, minlength=self.n)
-        return np.insert(value[self.word] if len(self.word) else value[:0], np.cumsum(size), end), np.append(0, np.cumsum(size + 1))
+        offsets = np.append(0, np.cumsum(np.bincount(self.doc, minlength=self.n) + 1))
+        out = np.full(len(self.word) + self.n, end, value.dtype)
+        out[np.arange(len(self.word)) + self.doc] = value[self.word]
+        return out, offsets
+
+
+def _find(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each of ``words`` is in ``among``, -1 if it isn't."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy(zero_copy_only=False)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,25 +409,48 @@ class Leaves:
 
     def __init__(self, words: list[bytes], anchors: int):
         self.place = {w: k for k, w in enumerate(words)}
+        self.names = pa.array(words, pa.binary())
         self.size, self.anchors, self.end = len(words), anchors, self.place[b""]
 
-    def of(self, tokens: Tokens, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Leaf and state of every token and end, and the offsets of the texts; ``place`` tells where leaves come first."""
-        get = self.place.get
-        if place is None:
-            place = np.array([get(w, -1) for w in tokens.words], np.int64)
-        leaf = np.where((place >= 0) & (place < self.size), place, self.size + np.array([w[0] if w else 0 for w in tokens.words], np.int64))
-        leaf, offsets = tokens.with_ends(leaf, self.end)
+    def named(self, tokens: Tokens, place: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of each different token; ``place`` tells where it is in a list that begins with the leaves."""
+        place = _find(tokens.coded, self.names) if place is None else place
+        return np.where((place >= 0) & (place < self.size), place, self.size + tokens.first)
+
+    def of(self, tokens: Tokens, named: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaf and state of every token and end, and the offsets of the texts."""
+        leaf, offsets = tokens.with_ends(self.named(tokens) if named is None else named, self.end)
         anchor = np.where((leaf < self.anchors + 1) & (leaf != self.end), leaf + 1, 0)
         kind = np.where(anchor > 0, 1, np.where(leaf < self.size, 2, 3))
         return leaf, _state(anchor, kind, offsets), offsets
 
 
-def token_hashes(tokens: Tokens) -> np.ndarray:
-    """Two zeros and the hash of each token; ends have 0.  They come from the bytes, so each token has its own, however rare."""
+def hash_words(tokens: Tokens) -> np.ndarray:
+    """The hash of each different token.  They come from the bytes, so each has its own, however rare."""
     data, at = arrow_text(tokens.coded)
-    hashed = ranges(prefix_sums(data[at[0] : at[-1]]), at[:-1] - at[0], at[1:] - at[0]) | np.uint64(1)
-    return np.append(np.zeros(2, np.uint64), tokens.with_ends(hashed, np.uint64(0))[0])
+    out = np.empty(len(at) - 1, np.uint64)
+    for a in range(0, len(out), HASHED):
+        some = at[a : a + HASHED + 1]
+        out[a : a + HASHED] = ranges(prefix_sums(data[some[0] : some[-1]]), some[:-1] - some[0], some[1:] - some[0]) | np.uint64(1)
+    return out
+
+
+def token_hashes(tokens: Tokens, hashed: np.ndarray | None = None) -> np.ndarray:
+    """Two zeros and the hash of each token; ends have 0."""
+    return np.append(np.zeros(2, np.uint64), tokens.with_ends(hash_words(tokens) if hashed is None else hashed, np.uint64(0))[0])
+
+
+def prepared(tokens: Tokens, leaves: Leaves) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf and state of every token and end, and ``token_hashes``; made piece by piece."""
+    n = len(tokens.word) + tokens.n
+    leaf, state, hashed = np.empty(n, np.int32), np.empty(n, np.int32), np.zeros(n + 2, np.uint64)
+    named, own, at = leaves.named(tokens), hash_words(tokens), 0
+    for _, some in tokens.pieces():
+        end = at + len(some.word) + some.n
+        leaf[at:end], state[at:end], _ = leaves.of(some, named)
+        hashed[at + 2 : end + 2] = some.with_ends(own, np.uint64(0))[0]
+        at = end
+    return leaf, state, hashed
 
 
 def tokens_before(hashed: np.ndarray) -> np.ndarray:
@@ -443,7 +497,7 @@ def _token_steps(leaf: np.ndarray, state: np.ndarray, before: np.ndarray, tree:
     size = tree.size[leaf]
     node, bit = tree.path(leaf, size)
     slots = _token_slots(before, size, node, tree, counts.first)
-    x, gate = _token_inputs(given.ravel().take(np.repeat(state * given.shape[1], size) + node), *counts.of(slots))
+    x, gate = _token_inputs(given.ravel().take(np.repeat(state * np.int64(given.shape[1]), size) + node), *counts.of(slots))
     return slots, x, gate, bit
 
 
@@ -458,9 +512,11 @@ def learn_words(leaf: np.ndarray, state: np.ndarray, hashed: np.ndarray, tree: T
     inner, top = tree.n - 1, int(state.max()) + 1
     if not inner:
         return
-    upto = np.zeros((top, tree.n + 1))
-    np.cumsum(np.bincount(state * tree.n + tree.rank[leaf], minlength=top * tree.n).reshape(top, -1), axis=1, out=upto[:, 1:])
-    total = (upto[:, tree.high] - upto[:, tree.low]).ravel()
+    upto = np.zeros((top, tree.n + 1), np.int32)
+    np.cumsum(np.bincount(state * np.int64(tree.n) + tree.rank[leaf], minlength=top * tree.n).reshape(top, -1), axis=1, out=upto[:, 1:])
+    total = upto[:, tree.high]
+    total -= upto[:, tree.low]
+    total = total.ravel()
     at = draw.permutation(np.flatnonzero(total))
     of, node = np.divmod(at, inner)
     total, ones = total[at], upto[of, tree.high[node]] - upto[of, tree.mid[node]]
@@ -488,10 +544,7 @@ def _learn_words(shared):
         counts, mixer, last = Counts((*WORD_BITS, *TOKEN_BITS)), _word_mixer(), _token_mixer()
         draw, step = np.random.Generator(np.random.PCG64(7)), 1 << 14
         for batch in batches:
-            tokens = Tokens.of(batch.column("text"))
-            leaf, state, _ = leaves.of(tokens)
-            hashed = token_hashes(tokens)
-            del tokens
+            leaf, state, hashed = prepared(Tokens.of(batch.column("text")), leaves)
             at = 0
             while at < len(leaf):
                 some = slice(at, at + step)
@@ -626,26 +679,31 @@ def _score_texts(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves, tree, given, contexts, last, words, count, base, extra = shared.value
-        find = dict(zip(words, range(len(words)), strict=True)).get
-        count, base, extra = np.append(count, 0), np.append(base, 0.0), np.append(extra, 0.0)
+        figures = [np.append(x, 0.0) for x in (count > 0, base, extra)]  # none for the tokens that aren't in the list
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             tokens, n = Tokens.of(batch.column("text")), len(batch)
-            place = np.array([find(w, -1) for w in tokens.words], np.int64)
-            leaf, state, offsets = leaves.of(tokens, place)
-            doc = np.repeat(np.arange(n), np.diff(offsets))
-            walk = np.bincount(doc, walk_scores(leaf, state, token_hashes(tokens), tree, given, contexts, last), n)
-            at, _ = tokens.with_ends(place, find(b"", -1))
-            known, low, more = (np.bincount(doc, x[at], n) for x in ((count > 0).astype(np.float64), base, extra))
-            rare = place[tokens.word] < 0 if len(tokens.word) else np.zeros(0, bool)
-            pair, times = np.unique(tokens.doc[rare] * max(len(tokens.words), 1) + tokens.word[rare], return_counts=True)
-            own, which = pair // max(len(tokens.words), 1), pair % max(len(tokens.words), 1)
+            place = _find(tokens.coded, words)
+            named, hashed = leaves.named(tokens, place), hash_words(tokens)
+            walk, known, low, more = np.empty((4, n))
+            for begin, some in tokens.pieces():
+                own = slice(begin, begin + some.n)
+                leaf, state, offsets = leaves.of(some, named)
+                doc = np.repeat(np.arange(some.n), np.diff(offsets))
+                walk[own] = np.bincount(doc, walk_scores(leaf, state, token_hashes(some, hashed), tree, given, contexts, last), some.n)
+                at, _ = some.with_ends(place, leaves.end)
+                for x, figure in zip((known, low, more), figures, strict=True):
+                    x[own] = np.bincount(doc, figure[at], some.n)
+            size_in_tokens = np.bincount(tokens.doc, minlength=n) + 1
+            rare = place[tokens.word] < 0
+            pair, times = np.unique(tokens.doc[rare] * np.int64(max(len(place), 1)) + tokens.word[rare], return_counts=True)
+            own, which = pair // max(len(place), 1), pair % max(len(place), 1)
             none = lambda x, k: pa.concat_arrays([x, pa.nulls(k, x.type)])
             r, size = len(pair), pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([np.arange(row, row + n), row + own])),
-                    none(batch.column("doc_id"), r), none(batch.column("held_out"), r), none(size, r), none(pa.array(np.diff(offsets)), r), none(pa.array(known.astype(np.int64)), r), none(pa.array(low), r), none(pa.array(walk + more), r),
+                    none(batch.column("doc_id"), r), none(batch.column("held_out"), r), none(size, r), none(pa.array(size_in_tokens), r), none(pa.array(known.astype(np.int64)), r), none(pa.array(low), r), none(pa.array(walk + more), r),
                     pa.concat_arrays([pa.nulls(n, pa.binary()), tokens.coded.take(pa.array(which))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64))]),
                 ],
                 names=["row", "doc_id", "held_out", "size", "n_tokens", "n_known", "base", "score", "word", "times"],
@@ -695,7 +753,7 @@ def score_texts(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     model = spark.sparkContext.broadcast((letters, speller, total, kinds))
     scored = stage(spelled.mapInArrow(_score_words(model, n, v, discount), "word binary, c long, base double, extra double"), "scored-words")
     more = scored.orderBy(F.desc("c"), "word").limit(max(heavy - len(count), 0)).toArrow()
-    names = [*listed.place, *more["word"].to_pylist()]
+    names = pa.concat_arrays([listed.names, more["word"].combine_chunks().cast(pa.binary())])
     frequent = (names, np.append(count, more["c"].to_numpy()), np.append(_base(count, n, v), more["base"].to_numpy()), np.append(np.zeros(len(count)), more["extra"].to_numpy()))
     known = spark.sparkContext.broadcast((listed, tree, given, contexts.ending(len(TOKEN_BITS)), last, *frequent))
     fields = [("row", T.LongType()), ("doc_id", kind), ("held_out", T.BooleanType()), ("size", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("word", T.BinaryType()), ("times", T.LongType())]

@@ -306,6 +306,60 @@ def test_tokens_before_and_walks_sum_to_one():
     assert np.allclose(whole, alone, atol=1e-5) and whole.mean() > tree.leaves(given)[state, leaf].mean()
 
 
+def test_a_task_holds_few_bytes_for_each_token(monkeypatch):
+    """Learning and scoring go piece by piece: they hold less for each token of a batch than six numbers."""
+    import tracemalloc
+
+    class Task:
+        get = classmethod(lambda cls: cls())
+        partitionId = lambda self: 0
+
+    class Shared:
+        def __init__(self, *value):
+            self.value = value
+
+    monkeypatch.setattr(lm, "TaskContext", Task)
+    for name, value in (("_STEP", 1 << 14), ("WORD_BITS", (8, 8, 8, 8)), ("TOKEN_BITS", (10, 10))):  # tables that don't grow with the batch
+        monkeypatch.setattr(lm, name, value)
+    draw = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [" ".join(words[k] for k in row) for row in draw.integers(0, 5000, (600, 1000))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "held_out": [False] * 600, "text": texts})
+    leaves = lm.Leaves([b"w1", b"", b"w2", b"w3"], 1)
+    tree = lm.Tree(draw.integers(1, 1000, 4 + 256))
+    counts, mixer, last = lm.Counts((*lm.WORD_BITS, *lm.TOKEN_BITS)), lm._word_mixer(), lm._token_mixer()
+    given = lm.node_scores(tree, counts, mixer, 3 * lm.KINDS).astype(np.float32)
+    names = [*leaves.place, *(w.encode() for w in words if w.encode() not in leaves.place)]
+    known = (pa.array(names, pa.binary()), np.ones(len(names), np.int64), np.zeros(len(names)), np.zeros(len(names)))
+    peak = []
+    for run in (lm._learn_words(Shared(leaves, tree)), lm._score_texts(Shared(leaves, tree, given, counts.ending(2), last, *known))):
+        tracemalloc.start()
+        out = next(run(iter([batch])))
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert out["n_tokens"].to_pylist()[:600] == [1001] * 600
+    assert max(peak) < 48 * 600_600, [p / 600_600 for p in peak]
+
+
+def test_pieces_are_whole_texts():
+    texts = ["a b c", None, "", "B  c b c", " b c", "d " * 9, "a"]
+    tokens = lm.Tokens.of(pa.array(texts, pa.string()))
+    want = [[tokens.words[k] for k in tokens.word[tokens.doc == i]] for i in range(len(texts))]
+    leaves = lm.Leaves([b"a", b"", b"b", b"c"], 1)
+    whole = leaves.of(tokens)[:2], lm.token_hashes(tokens)
+    for most in (1, 4, 7, 1000):
+        found, begins = [], []
+        for begin, some in tokens.pieces(most):
+            assert begin == len(found) and (len(some.word) <= most or some.n == 1)
+            found += [[some.words[k] for k in some.word[some.doc == i]] for i in range(some.n)]
+            begins.append((leaves.of(some)[:2], lm.token_hashes(some)[2:]))
+        assert found == want
+        assert all((np.concatenate([b[0][k] for b in begins]) == whole[0][k]).all() for k in (0, 1))
+        assert (np.concatenate([b[1] for b in begins]) == whole[1][2:]).all()
+    leaf, state, hashed = lm.prepared(tokens, leaves)
+    assert (leaf == whole[0][0]).all() and (state == whole[0][1]).all() and (hashed == whole[1]).all()
+
+
 def test_spelling_sums_to_one_at_most():
     counts, mixer = lm.Counts(lm._SPELL_BITS), lm._spell_mixer()
     words = [b"ab", b"abc", b"b", b"ba"] * 50
