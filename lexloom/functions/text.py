@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -20,7 +21,11 @@ BOILERPLATE_PATTERNS = (
     r"chinh sach bao mat.*",
     r"\brss\b",
 )
+# What a text has at least where the pattern of the same place matches; lower case, as folded text is.
+BOILERPLATE_SIGNS = ("adsbygoogle", "adsbygoogle", "://", "trang thong tin dien tu", "chinh sach bao mat", "rss")
 TOKEN_PATTERN = "[0-9a-zA-Z_]+"
+#: Tokens that are kept: of those of one character, digits only.
+KEPT_PATTERN = "[0-9a-zA-Z_]{2,}|[0-9]"
 # Topic names as articles spell them, and as they are shown.
 TOPICS = {
     "THẾ GIỚI": "Thế giới", "XÃ HỘI": "Xã hội", "THỜI SỰ": "Thời sự", "PHÁP LUẬT": "Pháp luật", "THỂ THAO": "Thể thao", "GIẢI TRÍ": "Giải trí",
@@ -34,6 +39,11 @@ def _c(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it: built-in expressions inside others aren't shared."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def as_text(column: Column | str) -> Column:
     """Null as empty, anything else as a string."""
     return F.coalesce(_c(column).cast("string"), F.lit(""))
@@ -57,7 +67,8 @@ def _fold_table() -> tuple[str, str]:
 
 
 def strip_accents(column: Column | str) -> Column:
-    return F.regexp_replace(F.translate(_c(column), *_fold_table()), r"\p{Mn}", "")
+    """Texts of one byte a character have none."""
+    return held(_c(column), lambda c: F.when(F.length(c) == F.octet_length(c), c).otherwise(F.regexp_replace(F.translate(c, *_fold_table()), r"\p{Mn}", "")))
 
 
 def fold(column: Column | str) -> Column:
@@ -73,6 +84,22 @@ def strip_boilerplate(column: Column | str) -> Column:
     return c
 
 
+def _strip_folded(column: Column) -> Column:
+    """``strip_boilerplate`` of folded text, whose upper-case letters are gone: a pattern is looked for only where its sign is."""
+
+    def without(pattern: str, sign: str) -> Callable[[Column], Column]:
+        return lambda c: F.when(F.contains(c, F.lit(sign)), F.regexp_replace(c, f"(?is){pattern}", " ")).otherwise(c)
+
+    for pattern, sign in zip(BOILERPLATE_PATTERNS, BOILERPLATE_SIGNS, strict=True):
+        column = held(column, without(pattern, sign))
+    return column
+
+
+def tokenisable(column: Column | str) -> Column:
+    """Text as ``plain_tokens`` splits it: folded, without page furniture."""
+    return _strip_folded(fold(column))
+
+
 def repaired(column: Column | str) -> Column:
     """Decoding repair; null as empty."""
     from lexloom.functions.repair import fix_mojibake
@@ -82,10 +109,13 @@ def repaired(column: Column | str) -> Column:
 
 def plain_tokens(column: Column | str) -> Column:
     """Tokens of text that is repaired already: folded words; joined words are followed by their parts."""
-    found = F.regexp_extract_all(strip_boilerplate(fold(column)), F.lit(TOKEN_PATTERN), F.lit(0))
-    kept = F.filter(found, lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$"))
     parts = lambda t: F.when(F.contains(t, F.lit("_")), F.concat(F.array(t), F.filter(F.split(t, "_"), lambda p: F.length(p) > 1))).otherwise(F.array(t))
-    return F.flatten(F.transform(kept, parts))
+
+    def split(c: Column) -> Column:
+        found = F.regexp_extract_all(c, F.lit(KEPT_PATTERN), F.lit(0))
+        return F.when(F.contains(c, F.lit("_")), F.flatten(F.transform(found, parts))).otherwise(found)
+
+    return held(tokenisable(column), split)
 
 
 def tokens(column: Column | str) -> Column:
@@ -106,20 +136,27 @@ def shorten(column: Column | str, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.rtrim(F.substring(c, 1, most)), F.lit("..."))).otherwise(c)
 
 
+def _first(column: Column | str, most: int) -> Column:
+    """Text with single spaces, shortened: its beginning tells, unless that is spaces for the most part."""
+    c = _c(column)
+    p = collapse_space(F.substring(c, 1, 8 * most))
+    return F.when(F.length(p) > most, shorten(p, most)).otherwise(shorten(collapse_space(c), most))
+
+
 def clean_display(column: Column | str, most: int | None = None) -> Column:
     """Repaired, with single spaces, shortened."""
-    c = collapse_space(repaired(as_text(column)))
-    return c if most is None else shorten(c, most)
+    c = repaired(as_text(column))
+    return collapse_space(c) if most is None else _first(c, most)
 
 
 def plain_display(column: Column | str, most: int | None = None) -> Column:
     """``clean_display`` of text that is repaired already."""
-    c = collapse_space(as_text(column))
-    return c if most is None else shorten(c, most)
+    c = as_text(column)
+    return collapse_space(c) if most is None else _first(c, most)
 
 
 def chunk_title(column: Column | str, most: int = 120) -> Column:
-    return shorten(collapse_space(as_text(column)), most)
+    return _first(as_text(column), most)
 
 
 def date_marks(column: Column | str) -> Column:

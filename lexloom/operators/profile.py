@@ -39,10 +39,12 @@ def histogram(df: DataFrame, value: Column, bins: int = 60) -> DataFrame:
     return placed.groupBy(spot.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def index_figures(documents: DataFrame, terms: DataFrame, postings: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``(artifact, n)`` of the tables that searches use."""
+def index_figures(documents: DataFrame, terms: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(artifact, n)`` of the tables that searches use; a term has as many postings as documents."""
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("artifact"), "n")
-    return count(documents, "documents").unionAll(count(terms, "vocabulary")).unionAll(count(postings, "postings")).unionAll(count(vectors, "vectors"))
+    both = terms.agg(F.count("*").alias("v"), F.coalesce(F.sum("df"), F.lit(0)).alias("p"))
+    pairs = F.array(*(F.struct(F.lit(name).alias("artifact"), F.col(c).alias("n")) for name, c in (("vocabulary", "v"), ("postings", "p"))))
+    return count(documents, "documents").unionAll(both.select(F.inline(pairs))).unionAll(count(vectors, "vectors"))
 
 
 def inspect_artifacts(spark, **paths: str) -> dict:

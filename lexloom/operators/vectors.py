@@ -19,8 +19,8 @@ from lexloom.sources.articles import require, with_index
 MULTIPLIER, LEAST_CANDIDATES = 5, 50
 #: Cells of an inverted file, and how many of them a query looks into.
 CELLS, PROBES = 256, 32
-#: Bytes of query vectors that go to all tasks at a time, and rows of vectors compared at a time.
-QUERY_BYTES, ROWS = 16 << 20, 1 << 12
+#: Bytes of query vectors that go to all tasks at a time, rows of vectors compared at a time, and products made at a time.
+QUERY_BYTES, ROWS, BLOCK = 16 << 20, 1 << 12, 1 << 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -38,12 +38,35 @@ def _best(owner: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> tupl
     return owner[keep], key[keep], score[keep]
 
 
+def _cells_of(vectors: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The cell of each vector's largest product."""
+    return (vectors @ cells.T).argmax(axis=1)
+
+
 def _products(shared, key: str, k: int, by_cell: bool):
-    """Vectors to each query's best ones among those of the task: (query_id, key, score)."""
+    """Vectors to each query's best ones among those of the task: (query_id, key, score).
+
+    Products are made in blocks of ``BLOCK`` at most, however many queries there are.  A product is kept if it is among the best of its
+    block and not under what its query's ``k``-th best was when the kept ones were last cut, which is as soon as they are ``k`` a query.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries, probed = shared.value
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        names, queries, probed, cells = shared.value
+        width = max(1, BLOCK // ROWS)
+        best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        least = np.full(len(names), -np.inf)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size, most = 0, max(len(names) * k, BLOCK)
+
+        def cut() -> None:
+            nonlocal size, best
+            best = list(_best(*(np.concatenate(x) for x in zip(best, *kept, strict=True)), k))
+            kept.clear()
+            size = 0
+            owner, n = np.unique(best[0], return_counts=True)
+            full = owner[n == k]
+            least[full] = best[2][np.cumsum(n)[n == k] - 1]
+
         for whole in batches:
             for begin in range(0, len(whole), ROWS):
                 batch = whole.slice(begin, ROWS)
@@ -51,13 +74,24 @@ def _products(shared, key: str, k: int, by_cell: bool):
                 batch = batch.filter(pa.array(real)) if not real.all() else batch
                 if not len(batch):
                     continue
-                score = np.round(matrix(batch.column("embedding")) @ queries.T, DIGITS)
+                held, ids = matrix(batch.column("embedding")), batch.column(key).to_numpy()
                 if by_cell:
-                    score = np.where(probed[:, batch.column("cell_id").to_numpy()].T, score, -np.inf)
-                least = np.partition(score, -k, axis=0)[-k] if len(score) > k else np.full(len(names), -np.inf)
-                row, owner = np.nonzero((score >= least) & (score > -np.inf))
-                held = list(_best(*(np.concatenate(x) for x in zip(held, (owner, batch.column(key).to_numpy()[row], score[row, owner]), strict=True)), k))
-        yield pa.RecordBatch.from_arrays([pa.array(names[held[0]]), pa.array(held[1], pa.int64()), pa.array(held[2], pa.float64())], names=["query_id", key, "score"])
+                    cell = batch.column("cell_id").to_numpy() if "cell_id" in batch.schema.names else _cells_of(held, cells)
+                for q in range(0, len(names), width):
+                    score = held @ queries[q : q + width].T
+                    np.round(score, DIGITS, out=score)
+                    if by_cell:
+                        score[~probed[q : q + width, cell].T] = -np.inf
+                    floor = least[q : q + width]
+                    if len(score) > k:
+                        floor = np.maximum(floor, np.partition(score, -k, axis=0)[-k])
+                    row, owner = np.nonzero((score >= floor) & (score > -np.inf))
+                    kept.append((owner + q, ids[row], score[row, owner]))
+                    size += len(row)
+                    if size >= most:
+                        cut()
+        cut()
+        yield pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], names=["query_id", key, "score"])
 
     return run
 
@@ -66,7 +100,8 @@ def best_products(vectors: DataFrame, queries: DataFrame, key: str, k: int, cell
     """``queries(query_id, vector)`` against all vectors: (query_id, key, score, rank), the ``k`` best of each.
 
     Queries go to the tasks in blocks of bounded bytes, one pass over the vectors each; a task returns no more than each query's
-    best, so no row is made of a pair.  With ``cells``, a query meets the vectors of its ``probes`` nearest cells only.
+    best, so no row is made of a pair.  With ``cells``, a query meets the vectors of its ``probes`` nearest cells only; a vector
+    without ``cell_id`` is in the cell of its largest product.
     """
     spark, none = vectors.sparkSession, None
     size, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
@@ -84,8 +119,8 @@ def best_products(vectors: DataFrame, queries: DataFrame, key: str, k: int, cell
             near = np.argsort(-(held @ cells.T), axis=1, kind="stable")[:, :probes]
             probed = np.zeros((len(names), len(cells)), bool)
             probed[np.arange(len(names))[:, None], near] = True
-        shared = spark.sparkContext.broadcast((names, held, probed))
-        found = vectors.select(F.col(key).cast("bigint").alias(key), "embedding", *(["cell_id"] if cells is not None else [])).mapInArrow(_products(shared, key, k, cells is not None), kind)
+        shared = spark.sparkContext.broadcast((names, held, probed, cells))
+        found = vectors.select(F.col(key).cast("bigint").alias(key), "embedding", *(["cell_id"] if cells is not None and "cell_id" in vectors.columns else [])).mapInArrow(_products(shared, key, k, cells is not None), kind)
         none = found if none is None else none.unionAll(found)
     return ranked(none, k, key)
 
@@ -160,7 +195,7 @@ def _nearest(shared):
             real = np.flatnonzero(batch.column("embedding").is_valid().to_numpy(zero_copy_only=False))
             cell = np.zeros(len(batch), np.int32)
             if len(real):
-                cell[real] = (matrix(batch.column("embedding").take(pa.array(real))) @ cells.T).argmax(axis=1)
+                cell[real] = _cells_of(matrix(batch.column("embedding").take(pa.array(real))), cells)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell_id"])
 
     return run
@@ -168,7 +203,9 @@ def _nearest(shared):
 
 @dataclass
 class Ivf:
-    """Approximate search: vectors live in cells around centroids, a query reads the ``probes`` nearest ones."""
+    """Approximate search: vectors live in cells around centroids, a query reads the ``probes`` nearest ones.
+
+    Vectors without ``cell_id`` get their cell where they are read."""
 
     vectors: DataFrame
     centroids: np.ndarray
@@ -176,7 +213,7 @@ class Ivf:
 
     @classmethod
     def train(cls, vectors: DataFrame, cells: int = CELLS, sample: int | None = None, seed: int = 7, key: str = "embedding_index") -> Ivf:
-        """Centroids of a bounded sample (39 rows a cell, 10,000 at least); every vector is then in the cell of its largest product."""
+        """Centroids of a bounded sample (39 rows a cell, 10,000 at least); every vector is in the cell of its largest product."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
@@ -184,13 +221,18 @@ class Ivf:
         rows = vectors.orderBy(key).limit(sample).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
         centers = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(rows).clusterCenters())
         centers = centers / np.maximum(np.sqrt((centers * centers).sum(axis=1)), 1e-300)[:, None]  # of length one, as products decide
-        shared = vectors.sparkSession.sparkContext.broadcast(centers)
-        placed = vectors.drop("cell_id").mapInArrow(_nearest(shared), T.StructType([*vectors.drop("cell_id").schema.fields, T.StructField("cell_id", T.IntegerType())]))
-        return cls(placed, centers, key)
+        return cls(vectors.drop("cell_id"), centers, key)
+
+    def placed(self) -> DataFrame:
+        """The vectors with ``cell_id``."""
+        if "cell_id" in self.vectors.columns:
+            return self.vectors
+        shared = self.vectors.sparkSession.sparkContext.broadcast(self.centroids)
+        return self.vectors.mapInArrow(_nearest(shared), T.StructType([*self.vectors.schema.fields, T.StructField("cell_id", T.IntegerType())]))
 
     def save(self, path: str) -> None:
         """Vectors a folder a cell, so that a search reads the cells that are probed."""
-        self.vectors.write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")
+        self.placed().write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")
         centroids = [(k, [float(x) for x in c]) for k, c in enumerate(self.centroids)]
         self.vectors.sparkSession.createDataFrame(centroids, "cell_id int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
 

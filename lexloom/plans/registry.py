@@ -207,8 +207,7 @@ def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def document_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_table(spark, sf_dir)
-    lengths = lexical.doc_lengths(docs, lexical.term_frequencies(docs, lexical.index_text()))
-    return lengths.select(F.col("doc_index").alias("doc_id"), "doc_len")
+    return docs.select(F.col("doc_index").alias("doc_id"), F.size(X.plain_tokens(lexical.index_text())).cast("long").alias("doc_len"))
 
 
 @query
@@ -250,8 +249,7 @@ def bm25_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bm25_okapi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_table(spark, sf_dir)
-    tf = docs.select("doc_index", F.explode(X.words(F.lower("content"))).alias("term")).groupBy("doc_index", "term").agg(F.count("*").alias("tf"))
-    return _hits(lexical.Okapi(tf, lexical.doc_lengths(docs, tf)).hits(batch(spark, *TERMS[:4])))
+    return _hits(lexical.Okapi(docs.select("doc_index", F.lower("content").alias("text"))).hits(batch(spark, *TERMS[:4])))
 
 
 @query
@@ -480,7 +478,7 @@ def eda_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def diagnostics_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = index(spark, sf_dir)
-    return profile.index_figures(held.documents, held.terms, held.postings, table(spark, sf_dir, "embeddings"))
+    return profile.index_figures(held.documents, held.terms, table(spark, sf_dir, "embeddings"))
 
 
 @query

@@ -83,7 +83,11 @@ def records_to_documents(raw: DataFrame, order: str | None = None) -> DataFrame:
 
 def fixed(df: DataFrame) -> DataFrame:
     """The same rows for every reader, in the shared folder, so that a lost executor takes none of them along."""
-    spark = df.sparkSession
+    _shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None and named:
@@ -94,7 +98,18 @@ def fixed(df: DataFrame) -> DataFrame:
         import tempfile
 
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lexloom-')}")
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``fixed`` for large tables: Parquet in the shared folder, a fraction of the bytes; deleted when the session's JVM ends."""
+    import uuid
+
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_shared_folder(spark)}/tables/{uuid.uuid4().hex}")
+    df.write.parquet(path.toString())
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(path.toString())
 
 
 def with_index(df: DataFrame, *order: str, name: str = "doc_index") -> DataFrame:
