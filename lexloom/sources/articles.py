@@ -18,6 +18,9 @@ FIELDS = (
     "title_processed", "content_processed", "combined_processed", "combined_unaccented", "chunk_processed", "chunk_unaccented",
 )
 
+#: Bytes of an Arrow batch where the session has Spark's own default.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
 
 class MissingArtifact(FileNotFoundError):
     """A table or file that a search needs isn't there."""
@@ -107,7 +110,13 @@ def staged(df: DataFrame) -> DataFrame:
 
     spark = df.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_shared_folder(spark)}/tables/{uuid.uuid4().hex}")
-    df.write.parquet(path.toString())
+    before = spark.conf.get(BATCH_KEY)
+    try:
+        if before == BATCH_DEFAULT:  # batches of whole texts are bounded by their bytes
+            spark.conf.set(BATCH_KEY, BATCH_BYTES)
+        df.write.parquet(path.toString())
+    finally:
+        spark.conf.set(BATCH_KEY, before)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(path.toString())
 
